@@ -1,11 +1,13 @@
 """Weighted percentiles per group of very large numeric columns, by distributed multi-select.
 
 Values are pre-aggregated to ``(group, value, weight)`` and laid out once, as sorted pieces of bounded
-length, spread over the partitions by group and salt. In each round every piece proposes the weighted
-median of its values that are still possible, for every group and percentile at once; the weighted
-median of the proposals is the pivot. The pieces count the weights below, at and above it, the ranges
-that can't hold the percentile are ruled out, and the next proposals are made in the same pass, for
-either side. All groups take part until they are found; only numbers per group travel.
+length, spread over the partitions by group and salt. In each round every piece proposes, for every
+group and percentile at once, the weighted median of its values that are still possible, and the other
+quantiles that part them evenly; the weighted median of the pieces' proposals is the pivot. The pieces
+count the weights below, at and above the pivots, the ranges that can't hold the percentile are ruled
+out, and the next proposals are made in the same pass, for each range that may remain. With one pivot
+this is the textbook algorithm; with seven a round does the work of three. All groups take part until
+they are found; only numbers per group travel.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 
 from binstrata.session import Scratch, parallelism
 
+LO, HI, BELOW, TOTAL, FOUND, PIVOT = range(6)
+
 
 def partials(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """``(*by, value, weight)``: the state of a file, a day or any other part. States of several parts
@@ -53,46 +57,86 @@ def _search(a: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray, ri
         hi = np.where(open_ & ~go, mid, hi)
 
 
-def _median(v: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted medians of the stretches [a, b), and their weights; NaN where a stretch is empty.
-    ``c`` holds the running weights before each position."""
-    w = np.where(b > a, c[b] - c[a], 0.0)
-    at = _search(c[1:], a, np.maximum(a, b - 1), c[a] + w / 2, False)
-    return np.where(b > a, v[np.minimum(at, len(v) - 1)] if len(v) else np.nan, np.nan), w
-
-
-def _round(by: Sequence[str], n_q: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("pairs"))
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values
-            v, w = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            c = np.concatenate([[0.0], np.cumsum(w)])
-            start, end = offsets[:-1], offsets[1:]
-            out = [batch.column(batch.schema.get_field_index(b)) for b in by]
-            for k in range(n_q):
-                lo, hi, pivot = (batch.column(batch.schema.get_field_index(f"{n}_{k}")).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "pivot"))
-                a = _search(v, start, end, lo, True)
-                b = np.maximum(a, _search(v, start, end, hi, False))
-                left = np.clip(_search(v, start, end, pivot, False), a, b)
-                right = np.clip(_search(v, start, end, pivot, True), a, b)
-                lm, lw = _median(v, c, a, left)
-                rm, rw = _median(v, c, right, b)
-                out += [pa.array(x) for x in (lw, c[right] - c[left])]
-                out += [pa.array(x, from_pandas=True) for x in (lm, rm)]
-                out.append(pa.array(rw))
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
-
-    return run
-
-
-def _weighted_median(proposals: Column) -> Column:
-    """The weighted median of an array of (value, weight): one for each piece of the group."""
-    half = F.aggregate(proposals, F.lit(0.0), lambda a, x: a + x["w"]) / 2
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"))
-    step = lambda a, x: F.when((a["c"] >= half) & a["v"].isNotNull(), a).otherwise(F.struct((a["c"] + x["w"]).alias("c"), x["v"].alias("v")))
-    return F.aggregate(F.sort_array(proposals), start, step)["v"]
+def survey(v: np.ndarray, w: np.ndarray, offsets: np.ndarray, state: np.ndarray, m: int) -> np.ndarray:
+    """What each piece reports on one percentile: the weights in its ``m + 1`` ranges between the pivots,
+    the weights at the ``m`` pivots, and ``m`` proposals for each range (NaN for an empty one)."""
+    c = np.concatenate([[0.0], np.cumsum(w)])
+    start, end = offsets[:-1], offsets[1:]
+    a = _search(v, start, end, state[:, LO], True)
+    b = np.maximum(a, _search(v, start, end, state[:, HI], False))
+    edges = [a]
+    for j in range(m):
+        p = state[:, PIVOT + j]
+        edges += [np.clip(_search(v, start, end, p, False), a, b), np.clip(_search(v, start, end, p, True), a, b)]
+    edges.append(b)
+    # pivots ascend, so each edge is at or after the one before
+    bounds = np.maximum.accumulate(np.stack(edges, axis=1), axis=1)
+    weights = c[bounds[:, 1:]] - c[bounds[:, :-1]]
+    out = [weights[:, 0::2], weights[:, 1::2]]
+    last = max(0, len(v) - 1)
+    for j in range(m + 1):
+        lo, hi = bounds[:, 2 * j], bounds[:, 2 * j + 1]
+        full = hi > lo
+        for i in range(1, m + 1):
+            at = _search(c[1:], lo, np.maximum(lo, hi - 1), c[lo] + (c[hi] - c[lo]) * (i / (m + 1)), False)
+            out.append(np.where(full, v[np.minimum(at, last)], np.nan)[:, None] if len(v) else np.full((len(lo), 1), np.nan))
+    return np.concatenate(out, axis=1)
+
+
+def _weighted_median(v: np.ndarray, w: np.ndarray) -> float:
+    ok = ~np.isnan(v) & (w > 0)
+    v, w = v[ok], w[ok]
+    order = np.argsort(v, kind="stable")
+    c = np.cumsum(w[order])
+    return float(v[order][min(len(v) - 1, np.searchsorted(c, c[-1] / 2))])
+
+
+def narrow(state: np.ndarray, reports: np.ndarray, counts: np.ndarray, q: float, m: int, rank_error: float) -> np.ndarray:
+    """The states after the reports of a round. ``reports``: those of the groups' pieces, one after the
+    other, ``counts`` of each group."""
+    new = state.copy()
+    at = np.concatenate([[0], np.cumsum(counts)])
+    sums = np.add.reduceat(reports[:, : 2 * m + 1], at[:-1], axis=0)
+    between, equal = sums[:, : m + 1], sums[:, m + 1 :]
+    total = np.where(np.isnan(state[:, TOTAL]), sums.sum(axis=1), state[:, TOTAL])
+    target = total * q
+    seq = np.empty((len(state), 2 * m + 1))
+    seq[:, 0::2], seq[:, 1::2] = between, equal
+    cum = state[:, BELOW, None] + np.cumsum(seq, axis=1)
+    reached = (cum >= target[:, None]) & (seq > 0)
+    # sums of doubles may miss the target by their last digit: then the last part that holds anything
+    holds = (2 * m) - np.argmax((seq > 0)[:, ::-1], axis=1)
+    part = np.where(reached.any(axis=1), np.argmax(reached, axis=1), holds)
+    rows = np.arange(len(state))
+    before = np.where(part > 0, cum[rows, np.maximum(part - 1, 0)], state[:, BELOW])
+    new[:, TOTAL] = total
+    hit = part % 2 == 1
+    new[hit, FOUND] = state[rows[hit], PIVOT + part[hit] // 2]
+    for r in np.nonzero(~hit)[0]:
+        j = part[r] // 2
+        mine = reports[at[r] : at[r + 1]]
+        props = mine[:, 2 * m + 1 + j * m : 2 * m + 1 + (j + 1) * m]
+        w = mine[:, j]
+        pivots = props[0] if len(mine) == 1 else np.array([_weighted_median(props[:, i], w) for i in range(m)])
+        if j > 0:
+            new[r, LO] = state[r, PIVOT + j - 1]
+        if j < m and state[r, PIVOT + j] < np.inf:
+            new[r, HI] = state[r, PIVOT + j]
+        new[r, BELOW] = before[r]
+        new[r, PIVOT:] = np.sort(pivots)
+        if between[r, j] <= total[r] * rank_error:
+            new[r, FOUND] = new[r, PIVOT + m // 2]
+    done = ~np.isnan(state[:, FOUND])
+    new[done] = state[done]
+    return new
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _flat(column: pa.ListArray, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def percentiles(
@@ -101,9 +145,9 @@ def percentiles(
     quantiles: Sequence[float],
     scratch: Scratch,
     rank_error: float = 0.0,
+    pivots: int = 7,
     piece: int = 4096,
-    trim_every: int = 3,
-    max_rounds: int = 200,
+    max_rounds: int = 100,
 ) -> DataFrame:
     """``(*by, p_0, p_1, ...)``: for each quantile q the least value at which the weight of all values up to
     it reaches q of the group's total.
@@ -112,8 +156,10 @@ def percentiles(
     weight between the result and the exact one is at most ``rank_error`` of the total. No group is ever
     brought together: a piece holds about ``piece`` values. Empty input gives no rows.
     """
-    by, n_q = list(by), len(quantiles)
+    by, n_q, m = list(by), len(quantiles), pivots
+    width = PIVOT + m
     n = parallelism(scratch.spark)
+    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
     # groups of more than one piece; the others need no entry
     big = weights.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece)
     big = scratch.write(big.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.ceil(F.col("n") / piece).cast("int").alias("__salts")), "big")
@@ -127,95 +173,78 @@ def percentiles(
     pieces = salted.repartition(n, *by, "salt").groupBy(*by, "salt").agg(
         F.max("salts").alias("salts"), F.sort_array(F.collect_list(F.struct(F.col("value").alias("v"), F.col("weight").alias("w")))).alias("pairs")
     )
-    pieces = pieces.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [weights, pieces := pieces.persist(StorageLevel.MEMORY_AND_DISK)]
 
-    inf = float("inf")
-    start: list[Column] = []
-    for k in range(n_q):
-        start += [F.lit(-inf).alias(f"lo_{k}"), F.lit(inf).alias(f"hi_{k}"), F.lit(inf).alias(f"pivot_{k}"), F.lit(0.0).alias(f"below_{k}"), F.lit(None).cast("double").alias(f"total_{k}"), F.lit(None).cast("double").alias(f"found_{k}")]
-    state = pieces.groupBy(*by).agg(F.max("salts").alias("salts")).select(*by, "salts", *start)
-
-    fields = [pieces.schema[c] for c in by]
-    names = [f"{x}_{k}" for k in range(n_q) for x in ("less", "equal", "left", "right", "more")]
-    out_schema = T.StructType([*fields, *[T.StructField(x, T.DoubleType()) for x in names]])
+    inf, nan = float("inf"), float("nan")
+    start = [-inf, inf, 0.0, nan, nan, *[inf] * m] * n_q
+    state = pieces.groupBy(*by).agg(F.max("salts").alias("salts")).withColumn("st", F.array(*[F.lit(x) for x in start]))
+    group = [pieces.schema[c] for c in by]
+    numbers = T.ArrayType(T.DoubleType())
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out_schema)
+    said_schema = T.StructType([*group, T.StructField("said", numbers)])
+    next_schema = T.StructType([*group, T.StructField("salts", T.IntegerType()), T.StructField("st", numbers)])
+    said_arrow, next_arrow = to_arrow_schema(said_schema), to_arrow_schema(next_schema)
+    report = 2 * m + 1 + (m + 1) * m
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, st = b.column(len(by)), _flat(b.column(len(by) + 1), width * n_q)
+            v, w = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            said = np.concatenate([survey(v, w, offsets, st[:, k * width : (k + 1) * width], m) for k in range(n_q)], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], _lists(said)], schema=said_arrow)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            st = _flat(b.column(len(by) + 1), width * n_q)
+            all_said = b.column(len(by) + 2)
+            counts = np.diff(all_said.offsets.to_numpy().astype(np.int64))
+            said = _flat(all_said.flatten(), report * n_q)
+            new = [narrow(st[:, k * width : (k + 1) * width], said[:, k * report : (k + 1) * report], counts, q, m, rank_error) for k, q in enumerate(quantiles)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 1], _lists(np.concatenate(new, axis=1))], schema=next_arrow)
+
+    item = lambda k, what: F.col("st")[k * width + what]
+    waiting = F.exists(F.array(*[F.isnan(item(k, FOUND)) for k in range(n_q)]), lambda x: x)
     finished: list[DataFrame] = []
-    held = pieces
     for r in range(max_rounds):
-        sides = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        ranges = [F.col(f"{x}_{k}") for k in range(n_q) for x in ("lo", "hi", "pivot", "found")]
-        sides = sides.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col("salt").alias("__salt"), *ranges)
-        on = pieces["salt"] == F.col("__salt")
-        for c in by:
-            on = on & pieces[c].eqNullSafe(F.col(f"__s_{c}"))
-        active = pieces.join(sides.hint("shuffle_hash"), on)
-        if r and r % trim_every == 0:
+        sides = state.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("__salt"), "st")
+        if r and r % 2 == 0:
             # rule out for good: only values inside some open range stay
-            inside = lambda x: _any([F.col(f"found_{k}").isNull() & (x["v"] > F.col(f"lo_{k}")) & (x["v"] < F.col(f"hi_{k}")) for k in range(n_q)])  # noqa: B023, E731
-            pieces = active.select(*by, "salt", "salts", F.filter("pairs", inside).alias("pairs")).where(F.size("pairs") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-            on = pieces["salt"] == F.col("__salt")
-            for c in by:
-                on = on & pieces[c].eqNullSafe(F.col(f"__s_{c}"))
-            active = pieces.join(sides.hint("shuffle_hash"), on)
-        counted = active.select(*by, "pairs", *ranges).mapInArrow(_round(by, n_q, arrow), out_schema)
-        aggs: list[Column] = []
-        for k in range(n_q):
-            prop = lambda v, w: F.collect_list(F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("v"), F.col(w).alias("w"))))
-            aggs += [F.sum(f"{x}_{k}").alias(f"{x}_{k}") for x in ("less", "equal", "more")]
-            aggs += [prop(f"left_{k}", f"less_{k}").alias(f"left_{k}"), prop(f"right_{k}", f"more_{k}").alias(f"right_{k}")]
-        sums = counted.groupBy(*by).agg(*aggs)
-        sums = sums.select(*[F.col(c).alias(f"__c_{c}") for c in by], *[F.col(c) for c in sums.columns if c not in by])
+            inside = lambda x: F.exists(F.array(*[F.isnan(item(k, FOUND)) & (x["v"] > item(k, LO)) & (x["v"] < item(k, HI)) for k in range(n_q)]), lambda y: y)
+            pieces = pieces.join(sides.hint("shuffle_hash"), _matches(pieces, by)).select(*by, "salt", F.filter("pairs", inside).alias("pairs"))
+            held.append(pieces := pieces.where(F.size("pairs") > 0).persist(StorageLevel.MEMORY_AND_DISK))
+        active = pieces.join(sides.hint("shuffle_hash"), _matches(pieces, by))
+        said = active.select(*by, "pairs", "st").mapInArrow(propose, said_schema)
+        # one report for each piece, so the list is as long as the group has pieces
+        gathered = said.groupBy(*by).agg(F.collect_list("said").alias("said")).withColumnsRenamed({c: f"__c_{c}" for c in by})
         on = F.lit(True)
         for c in by:
             on = on & state[c].eqNullSafe(F.col(f"__c_{c}"))
-        both = state.join(sums, on, "left")
-        nxt = both.select(*by, "salts", *[x for k, q in enumerate(quantiles) for x in _narrow(k, q, rank_error)])
         seen = Observation()
-        open_ = _any([F.col(f"found_{k}").isNull() for k in range(n_q)])
-        state = scratch.write(nxt.observe(seen, F.count_if(open_).alias("open")), f"round-{r}")
-        if pieces is not held:
-            held.unpersist()
-            held = pieces
-        finished.append(state.where(~open_))
+        nxt = state.join(gathered, on).select(*by, "salts", "st", "said").mapInArrow(decide, next_schema)
+        state = scratch.write(nxt.observe(seen, F.count_if(waiting).alias("open")), f"round-{r}")
+        finished.append(state.where(~waiting))
         if not seen.get["open"]:
             break
-        state = state.where(open_)
+        state = state.where(waiting)
     else:
         raise RuntimeError(f"not found within {max_rounds} rounds")
-    held.unpersist()
+    for df in held:
+        df.unpersist()
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
-    return out.select(*by, *[F.col(f"found_{k}").alias(f"p_{k}") for k in range(n_q)])
-
-
-def _any(conditions: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
-
-
-def _narrow(k: int, q: float, rank_error: float) -> list[Column]:
-    """The state of one percentile after its three-way counts."""
-    c = lambda n: F.col(f"{n}_{k}")
-    total = F.coalesce(c("total"), c("less") + c("equal") + c("more"))
-    target = total * F.lit(float(q))
-    go_left = target <= c("below") + c("less")
-    hit = ~go_left & (target <= c("below") + c("less") + c("equal"))
-    nxt = F.when(go_left, _weighted_median(c("left"))).otherwise(_weighted_median(c("right")))
-    rest = F.when(go_left, c("less")).otherwise(c("more"))
-    # nothing left on the side (sums of doubles may differ in their last digit): the pivot is it
-    found = F.when(hit | nxt.isNull(), c("pivot")).when(rest <= total * F.lit(rank_error), nxt)
-    done = c("found").isNotNull()
-    keep = lambda new, name: F.when(done, c(name)).otherwise(new).alias(f"{name}_{k}")
-    return [
-        keep(F.when(go_left | hit, c("lo")).otherwise(c("pivot")), "lo"),
-        keep(F.when(go_left, c("pivot")).otherwise(c("hi")), "hi"),
-        keep(F.coalesce(nxt, c("pivot")), "pivot"),
-        keep(F.when(go_left | hit, c("below")).otherwise(c("below") + c("less") + c("equal")), "below"),
-        keep(total, "total"),
-        keep(found, "found"),
-    ]
+    return out.select(*by, *[item(k, FOUND).alias(f"p_{k}") for k in range(n_q)])
+
+
+def _matches(pieces: DataFrame, by: Sequence[str]) -> Column:
+    on = pieces["salt"] == F.col("__salt")
+    for c in by:
+        on = on & pieces[c].eqNullSafe(F.col(f"__s_{c}"))
+    return on
