@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,4 +209,4 @@ def digest(columns: Sequence[str]) -> list[Column]:
     text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
     h = F.conv(F.substring(F.md5(text), 1, 16), 16, 10).cast("decimal(20,0)")
     total = F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-    return [F.count(F.lit(1)).alias("n"), (total % F.lit(2**64).cast("decimal(38,0)")).cast("decimal(20,0)").alias("digest")]
+    return [F.count(F.lit(1)).alias("n"), (total % F.lit(Decimal(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)").alias("digest")]

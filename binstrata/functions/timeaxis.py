@@ -165,21 +165,24 @@ def ms_of(ts: str | Column) -> Column:
     return F.unix_millis(_col(ts).cast("timestamp"))
 
 
+_BEFORE_EPOCH = 1970 * 12
+
+
 def _month_index_col(ms: Column) -> Column:
-    t = F.timestamp_millis(ms)
-    return F.year(t) * 12 + F.month(t) - 1
+    # each argument is used once: bins of bins are inlined by the optimizer, and would grow by powers
+    since = F.months_between(F.timestamp_millis(ms), F.lit("1970-01-01").cast("timestamp"), False)
+    return F.floor(since).cast("int") + _BEFORE_EPOCH
 
 
 def _month_start_col(index: Column) -> Column:
-    return F.unix_millis(F.make_timestamp(F.floor(index / 12).cast("int"), F.pmod(index, F.lit(12)).cast("int") + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
+    return F.unix_millis(F.add_months(F.lit("1970-01-01").cast("date"), (index - _BEFORE_EPOCH).cast("int")).cast("timestamp"))
 
 
 def floor_col(ms: str | Column, span: str | Span) -> Column:
     """:func:`floor` of a bigint column; nulls stay null. Needs a session in UTC for calendar spans."""
     s, m = parse(span), _col(ms)
     if s.calendar:
-        k = _month_index_col(m)
-        return _month_start_col(k - F.pmod(k, F.lit(s.months)))
+        return _month_start_col(F.floor(_month_index_col(m) / s.months) * s.months)
     return m - F.pmod(m, F.lit(s.fixed_ms))
 
 
@@ -222,3 +225,17 @@ def starts_col(lo: str | Column, hi: str | Column, span: str | Span) -> Column:
     else:
         out = F.sequence(floor_col(a, s), b - 1, F.lit(s.fixed_ms))
     return F.when(b > a, out).otherwise(F.array().cast("array<bigint>"))
+
+
+def parse_col(c: str | Column) -> Column:
+    """A column of duration texts as struct ``(count, unit, nominal_ms, fixed_ms)``; texts that are no
+    durations give nulls, calendar spans a null ``fixed_ms``."""
+    text = _col(c)
+    ok = text.rlike(r"^[0-9]+(min|h|d|mo|y)$")
+    count = F.when(ok, F.regexp_extract(text, r"^([0-9]+)", 1).cast("long"))
+    unit = F.when(ok, F.regexp_extract(text, r"([a-z]+)$", 1))
+    width = F.lit(None).cast("long")
+    for u, ms in _NOMINAL.items():
+        width = F.when(unit == u, F.lit(ms)).otherwise(width)
+    fixed = F.when(~unit.isin("mo", "y"), count * width)
+    return F.struct(count.alias("count"), unit.alias("unit"), (count * width).alias("nominal_ms"), fixed.alias("fixed_ms"))

@@ -110,9 +110,9 @@ def narrow(state: np.ndarray, reports: np.ndarray, counts: np.ndarray, q: float,
     rows = np.arange(len(state))
     before = np.where(part > 0, cum[rows, np.maximum(part - 1, 0)], state[:, BELOW])
     new[:, TOTAL] = total
-    hit = part % 2 == 1
+    hit, done = part % 2 == 1, ~np.isnan(state[:, FOUND])
     new[hit, FOUND] = state[rows[hit], PIVOT + part[hit] // 2]
-    for r in np.nonzero(~hit)[0]:
+    for r in np.nonzero(~hit & ~done)[0]:
         j = part[r] // 2
         mine = reports[at[r] : at[r + 1]]
         props = mine[:, 2 * m + 1 + j * m : 2 * m + 1 + (j + 1) * m]
@@ -126,7 +126,6 @@ def narrow(state: np.ndarray, reports: np.ndarray, counts: np.ndarray, q: float,
         new[r, PIVOT:] = np.sort(pivots)
         if between[r, j] <= total[r] * rank_error:
             new[r, FOUND] = new[r, PIVOT + m // 2]
-    done = ~np.isnan(state[:, FOUND])
     new[done] = state[done]
     return new
 

@@ -77,7 +77,7 @@ def densify(long: DataFrame, keys: Sequence[str], states: Sequence[str], n_scans
     additive = states if additive is None else additive
     held = long.groupBy(*keys).agg(F.collect_list(F.struct("__scan", *states)).alias("__rows"))
     at = F.map_from_entries(F.transform("__rows", lambda r: F.struct(r["__scan"].alias("key"), F.struct(*[r[c].alias(c) for c in states]).alias("value"))))
-    grid = held.select(*keys, at.alias("__at"), F.explode(F.sequence(F.lit(0), F.lit(n_scans - 1))).cast("long").alias("__scan"))
+    grid = held.select(*keys, at.alias("__at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_scans - 1).cast("long"))).alias("__scan"))
     value = F.try_element_at(F.col("__at"), F.col("__scan"))
     return grid.select(*keys, *[(F.coalesce(value[c], F.lit(0)) if c in additive else value[c]).alias(c) for c in states], "__scan")
 
@@ -92,8 +92,6 @@ def scan_digest(rows: DataFrame, dt: str = "dt", path: str = "path", states: Seq
     """``(n, sha256)`` of the present rows of one scan, sorted by path and dt, each as compact JSON and a
     newline. The exact digest of an archive: it orders the whole scan in one task, so it is meant for
     single tiles; :func:`binstrata.functions.monoids.digest` compares scans of any size."""
-    line = F.concat(F.to_json(F.array(F.lit(0))), F.lit(""))
-    del line
     cells = [F.coalesce(F.col(dt), F.lit(0)).cast("string"), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(path, r"\\", r"\\\\"), '"', '\\\\"'), F.lit('"')), *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in states]]
     text = F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]\n"))
     return rows.where(~_identity(states)).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(path, dt, text.alias("t")))), lambda r: r["t"]), ""), 256).alias("sha256"))
@@ -154,13 +152,13 @@ def as_of_join(events: DataFrame, intervals: DataFrame, keys: Sequence[str], at:
     """Each event with the interval of its key that holds its instant, if any (left join). Intervals are
     cut into cells of ``cell`` units, so that a key with very many rows is spread over its time."""
     right = _prefixed(intervals, "__i_")
-    top = F.least(F.col("__i_vt") - 1, F.lit(None).cast("long"))
-    span = events.agg(F.min(at).alias("__min"), F.max(at).alias("__max"))
-    right = right.join(F.broadcast(span)).where((F.col("__i_vt") > F.col("__min")) & (F.col("__i_vf") <= F.col("__max")))
-    del top
-    lo = F.floor(F.greatest(F.col("__i_vf"), F.col("__min")) / cell)
-    hi = F.floor((F.least(F.col("__i_vt"), F.col("__max") + 1) - 1) / cell)
-    right = right.withColumn("__cell", F.explode(F.sequence(lo, hi))).drop("__min", "__max")
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        lo, hi = 0, -1
+    right = right.where((F.col("__i_vt") > lo) & (F.col("__i_vf") <= hi) & (F.col("__i_vt") > F.col("__i_vf")))
+    first = F.floor(F.greatest(F.col("__i_vf"), F.lit(lo)) / cell)
+    last = F.floor((F.least(F.col("__i_vt"), F.lit(hi + 1)) - 1) / cell)
+    right = right.withColumn("__cell", F.explode(F.sequence(first, last)))
     on = _join_on(events, keys, "__i_") & (F.floor(events[at] / cell) == F.col("__cell")) & (events[at] >= F.col("__i_vf")) & (events[at] < F.col("__i_vt"))
     rest = [c for c in intervals.columns if c not in keys]
     return events.join(right, on, "left").select(*[events[c] for c in events.columns], *[F.col(f"__i_{c}").alias(c if c not in events.columns else f"i_{c}") for c in rest])
@@ -176,8 +174,8 @@ def append_scan(prev: DataFrame, new: DataFrame, keys: Sequence[str], states: Se
     cols = [*keys, *states, *carried_last, "vf", "vt"]
     closed = prev.where(F.col("vt") != open_end).select(*cols, F.lit(None).cast("string").alias("change"))
     live = prev.where(F.col("vt") == open_end).select(*cols)
-    late = live.where(F.col("vf") >= stamp).select(F.raise_error(F.lit("stamps must increase")))
-    del late
+    rising = F.when(F.col("vf") >= stamp, F.raise_error(F.lit("stamps must increase")).cast("boolean")).otherwise(F.lit(True))
+    live = live.where(rising)
     scan = _prefixed(new.select(*keys, *states, *carried_last), "__n_").withColumn("__in", F.lit(True))
     both = live.withColumn("__was", F.lit(True)).join(scan, _join_on(live, keys, "__n_"), "full_outer")
     same = F.lit(True)

@@ -29,8 +29,10 @@ def periods_and_gaps(df: DataFrame, by: tuple[str, ...], start: str, end: str, b
     on = F.lit(True)
     for c in by:
         on = on & events[c].eqNullSafe(F.col(f"__g_{c}"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("__t1") - F.col("__t0") + 1) / F.ceil(F.col("__n") / F.lit(float(block_rows))))).cast("long")
-    cut = events.join(stats, on).select(*by, "t", "d", ((F.col("t") - F.col("__t0")) / width).cast("long").alias("block"))
+    # in doubles, which keep the order and can't overflow; which block an instant falls into is all that matters
+    t, t0, t1 = (F.col(c).cast("double") for c in ("t", "__t0", "__t1"))
+    width = (t1 - t0 + 1.0) / F.ceil(F.col("__n") / F.lit(float(block_rows)))
+    cut = events.join(stats, on).select(*by, "t", "d", F.floor((t - t0) / width).cast("long").alias("block"))
 
     group = Window.partitionBy(*by).orderBy("block")
     before = cut.groupBy(*by, "block").agg(F.sum("d").alias("s"))

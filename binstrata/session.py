@@ -58,7 +58,7 @@ class Scratch:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -77,13 +77,9 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 1000) -
     At most ``1 / share`` keys can pass, so the result has a proven bound and may be broadcast.
     The counts are pre-aggregated on the map side; nulls never count as hot.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return (
-        counts.join(F.broadcast(total))  # one row
-        .where((F.col("__n") >= least) & (F.col("__n") >= F.col("__total") * F.lit(share)))
-        .select(key)
-    )
+    rows = df.where(F.col(key).isNotNull())
+    most = max(least, rows.count() * share)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= most).select(key)
 
 
 def env_path(name: str, default: str) -> str:
