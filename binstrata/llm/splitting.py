@@ -38,43 +38,53 @@ def boundaries(text: str) -> dict[int, int]:
     return out
 
 
+class _Block:
+    """Counts of the words of a sliding block, with the sum of their squares."""
+
+    def __init__(self, words: list[str]):
+        self.n = Counter(words)
+        self.squares = sum(x * x for x in self.n.values())
+
+    def change(self, word: str, by: int) -> None:
+        old = self.n[word]
+        self.n[word] = old + by
+        self.squares += (old + by) ** 2 - old * old
+
+
 def depths(text: str, at: list[int], block: int = BLOCK) -> dict[int, float]:
     """How deep the valley of similarity is at each position (ascending): the rise to the highest
     neighbour on either side, summed, of the cosine between the blocks of words before and after."""
-    found = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
-    starts = [s for s, _ in found]
-    vocab = [w if len(w) < 24 else w[:24] for _, w in found]
-    sims: list[float] = []
-    left: Counter = Counter()
-    right: Counter = Counter(vocab[:block])
-    k = 0
+    found = [(m.start(), m.group()[:24].lower()) for m in _WORD.finditer(text)]
+    starts, vocab = [s for s, _ in found], [w for _, w in found]
+    left, right = _Block([]), _Block(vocab[:block])
+    dot, k, sims = 0, 0, []
+
+    def move(mine: _Block, other: _Block, word: str, by: int) -> int:
+        mine.change(word, by)
+        return by * other.n.get(word, 0)
+
     for p in at:
-        while k < len(starts) and starts[k] < p:  # the blocks slide one word on
-            left[vocab[k]] += 1
-            if k >= block and (gone := vocab[k - block]):
-                left[gone] -= 1
-                if not left[gone]:
-                    del left[gone]
-            right[vocab[k]] -= 1
-            if right[vocab[k]] <= 0:
-                del right[vocab[k]]
+        while k < len(starts) and starts[k] < p:  # both blocks slide one word on
+            w = vocab[k]
+            dot += move(right, left, w, -1)
             if k + block < len(vocab):
-                right[vocab[k + block]] += 1
+                dot += move(right, left, vocab[k + block], 1)
+            dot += move(left, right, w, 1)
+            if k >= block:
+                dot += move(left, right, vocab[k - block], -1)
             k += 1
-        dot = sum(n * right[w] for w, n in left.items() if w in right)
-        norm = math.sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
+        norm = math.sqrt(left.squares * right.squares)
         sims.append(dot / norm if norm else 0.0)
-    out: dict[int, float] = {}
-    for i, p in enumerate(at):
-        hi_l = hi_r = sims[i]
-        j = i - 1
-        while j >= 0 and sims[j] >= hi_l and i - j < 200:
-            hi_l, j = sims[j], j - 1
-        j = i + 1
-        while j < len(at) and sims[j] >= hi_r and j - i < 200:
-            hi_r, j = sims[j], j + 1
-        out[p] = (hi_l - sims[i]) + (hi_r - sims[i])
-    return out
+    # the highest value reached by climbing without a step down, from either side
+    n = len(sims)
+    climb_l, climb_r = sims[:], sims[:]
+    for i in range(1, n):
+        if sims[i - 1] >= sims[i]:
+            climb_l[i] = climb_l[i - 1]
+    for i in range(n - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            climb_r[i] = climb_r[i + 1]
+    return {p: climb_l[i] + climb_r[i] - 2 * sims[i] for i, p in enumerate(at)}
 
 
 def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> list[tuple[int, int, int, int]]:
@@ -83,6 +93,9 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
     ``encode(text)`` gives the character spans of its tokens. A piece, encoded alone, has at most
     ``limit`` tokens; pieces cover the whole text in order, and a piece begins at most ``overlap``
     tokens before the end of the one before. A text within the limit is one piece; an empty one none.
+
+    Places are judged by the tokens of the whole text; each piece and each overlap is then encoded
+    alone, and where that gives too many tokens an earlier (for overlaps a later) place is taken.
     """
     if not 0 <= overlap <= limit // 2:
         raise ValueError("the overlap may be half the limit at most")
@@ -95,47 +108,46 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
     kinds = boundaries(text)
     places = sorted(kinds)
     valley = depths(text, places, block)
-    ends = [e for _, e in spans]
-    starts = [s for s, _ in spans]
+    ends, starts = [e for _, e in spans], [s for s, _ in spans]
     out: list[tuple[int, int, int, int]] = []
     start, prev_end = 0, 0
+
     def count(a: int, b: int) -> int:
         return len(encode(text[a:b]))
 
     while True:
-        if len(text) - start <= limit * 16 and count(start, len(text)) <= limit:
-            out.append((start, len(text), count(start, len(text)), PARAGRAPH))
-            return out
         first = bisect.bisect_left(starts, start)
-        # by the text's own tokens, the furthest end; encoded alone a piece may need a few more
-        far = ends[min(n - 1, first + limit - 1)]
-        room = limit
-        while count(start, far) > limit and room > 1:
-            room -= 1 + (count(start, far) - limit)
-            far = ends[min(n - 1, max(first, first + room - 1))]
-        near = max(prev_end + 1, ends[min(n - 1, first + limit // 2)])
-        choice, kind = far, TOKEN
+        if n - first <= limit and (m := count(start, len(text))) <= limit:
+            out.append((start, len(text), m, PARAGRAPH))
+            return out
+        low = max(prev_end, start) + 1
+        near = max(low, ends[min(n - 1, first + limit // 2)])
+        far = max(low, ends[min(n - 1, first + limit - 1)])
+        choice = None
         inside = places[bisect.bisect_left(places, near) : bisect.bisect_right(places, far)]
-        for want in (PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD):
-            group = [p for p in inside if kinds[p] == want]
-            if group:
-                best = max(group, key=lambda p: (valley[p], p))
-                if count(start, best) <= limit:
-                    choice, kind = best, want
-                    break
-        if choice <= max(start, prev_end):  # a single token or character: go on by what fits
-            choice = max(start, prev_end) + 1
-            while choice < len(text) and choice + 1 <= far and count(start, choice + 1) <= limit:
-                choice += 1
-        out.append((start, choice, count(start, choice), kind))
+        ranked = sorted(inside, key=lambda p: (kinds[p], valley[p], p), reverse=True)
+        for p in ranked[:4]:
+            if (m := count(start, p)) <= limit:
+                choice, kind = p, kinds[p]
+                break
+        room = limit
+        while choice is None:  # no natural place fits: the last token that does
+            at = max(low, ends[min(n - 1, max(first, first + room - 1))])
+            m = count(start, at)
+            if m <= limit or at == low:
+                choice, kind = at, TOKEN
+            else:
+                room -= max(1, m - limit)
+        out.append((start, choice, m, kind))
         prev_end = choice
-        # overlap: from the first natural boundary within the last tokens of the piece, of any kind
-        last = bisect.bisect_left(ends, choice)
-        earliest = starts[max(0, last - overlap + 1)] if overlap else choice
-        options = [p for p in places[bisect.bisect_left(places, max(earliest, start + 1)) : bisect.bisect_left(places, choice)]]
-        options = [p for p in options if count(p, choice) <= overlap]
-        best_kind = max((kinds[p] for p in options), default=TOKEN)
-        start = next((p for p in options if kinds[p] == max(best_kind, WORD)), choice) if overlap else choice
+        # overlap: from the most natural boundary within the last tokens of the piece, the earliest of its kind
+        earliest = starts[max(0, bisect.bisect_left(ends, choice) - overlap + 1)] if overlap else choice
+        options = places[bisect.bisect_left(places, max(earliest, start + 1)) : bisect.bisect_left(places, choice)] if overlap else []
+        start = choice
+        for p in sorted(options, key=lambda p: (-kinds[p], p))[:4]:
+            if count(p, choice) <= overlap:
+                start = p
+                break
 
 
 def split_documents(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = TOKENIZERS) -> DataFrame:
