@@ -26,17 +26,19 @@ def _leaf(levels: int):
 
 
 def tree_levels(rows: DataFrame, per_leaf: int = 64, most: int = 7) -> int:
-    """Levels below the root that give leaves of about ``per_leaf`` rows in the largest dataset."""
+    """Levels below the root that give leaves of about ``per_leaf`` rows in the largest dataset. An archive
+    has about one row for each object and state, so for archives the largest one serves as the measure."""
     largest = rows.groupBy("dataset").count().agg(F.max("count")).first()[0] or 1
     return min(most, max(1, math.ceil(math.log(max(1, largest / per_leaf), FANOUT))))
 
 
-def tree_differences(rows: DataFrame, levels: int) -> list[DataFrame]:
+def tree_differences(rows: DataFrame, levels: int, scratch: Scratch | None = None) -> list[DataFrame]:
     """``(dataset, scan, node, n, h1, h2)`` for each level from the root (0) to the leaves: how the
     node's count and hash differ from the snapshot before; equal nodes are left out.
 
     The hash has two sums of 31 bits each, so that 2^32 rows can't overflow. Repeated rows only weigh
-    more; a node is equal exactly if no pair's weight changed (but for chance, 2^-62).
+    more; a node is equal exactly if no pair's weight changed (but for chance, 2^-62). With ``scratch``
+    the leaves are written once, and the levels above are summed from what was written.
     """
     h = F.xxhash64("dt", "path", "b", "o")
     signed = rows.select("dataset", _leaf(levels), "lo", "hi", h.bitwiseAND(0x7FFFFFFF).alias("h1"), F.shiftrightunsigned(h, 33).alias("h2"))
@@ -45,6 +47,8 @@ def tree_differences(rows: DataFrame, levels: int) -> list[DataFrame]:
     total = [F.sum(c).alias(c) for c in ("n", "h1", "h2")]
     differs = (F.col("n") != 0) | (F.col("h1") != 0) | (F.col("h2") != 0)
     out = [events.groupBy("dataset", "scan", "node").agg(*total).where(differs)]
+    if scratch:
+        out = [scratch.write(out[0], "leaves")]
     for _ in range(levels):
         parent = F.floor(F.col("node") / FANOUT).cast("long").alias("node")
         out.insert(0, out[0].select("dataset", "scan", parent, "n", "h1", "h2").groupBy("dataset", "scan", "node").agg(*total).where(differs))
@@ -72,7 +76,7 @@ def versions(rows: DataFrame, last: DataFrame, levels: int, scratch: Scratch | N
     changes needs no rows: an object present before it is present through it. The array of a leaf's
     changes has at most one entry for each snapshot.
     """
-    changes = changed_leaves(tree_differences(rows, levels))
+    changes = changed_leaves(tree_differences(rows, levels, scratch))
     changes = changes.groupBy("dataset", "leaf").agg(F.collect_set("scan").alias("changes")).join(
         last.withColumnRenamed("dataset", "__d"), F.col("dataset").eqNullSafe(F.col("__d"))
     ).select(F.col("dataset").alias("__d"), F.col("leaf").alias("__l"), F.filter("changes", lambda j: j <= F.col("newest")).alias("changes"), "newest")
