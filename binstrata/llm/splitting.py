@@ -87,10 +87,11 @@ def depths(text: str, at: list[int], block: int = BLOCK) -> dict[int, float]:
     return {p: climb_l[i] + climb_r[i] - 2 * sims[i] for i, p in enumerate(at)}
 
 
-def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> list[tuple[int, int, int, int]]:
+def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK, measure=None, spans=None) -> list[tuple[int, int, int, int]]:
     """``(start, end, n_tokens, kind)`` of the pieces of a text, as character positions.
 
-    ``encode(text)`` gives the character spans of its tokens. A piece, encoded alone, has at most
+    ``encode(text)`` gives the character spans of its tokens, ``measure(text)`` their number, if that is
+    cheaper; ``spans`` are those of the whole text, if known. A piece, encoded alone, has at most
     ``limit`` tokens; pieces cover the whole text in order, and a piece begins at most ``overlap``
     tokens before the end of the one before. A text within the limit is one piece; an empty one none.
 
@@ -99,7 +100,7 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
     """
     if not 0 <= overlap <= limit // 2:
         raise ValueError("the overlap may be half the limit at most")
-    spans = encode(text)
+    spans = encode(text) if spans is None else spans
     n = len(spans)
     if not text:
         return []
@@ -113,7 +114,7 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
     start, prev_end = 0, 0
 
     def count(a: int, b: int) -> int:
-        return len(encode(text[a:b]))
+        return measure(text[a:b]) if measure else len(encode(text[a:b]))
 
     while True:
         first = bisect.bisect_left(starts, start)
@@ -167,14 +168,15 @@ def split_documents(docs: DataFrame, key: str, text: str, limit: int = LIMIT, ov
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(folder)
         encode = lambda x: t.encode(x, add_special_tokens=False).offsets
+        measure = lambda x: len(t.encode_batch_fast([x], add_special_tokens=False)[0])
         for b in batches:
             rows: list[tuple] = []
             for i, x in enumerate(b.column(1).to_pylist()):
                 if len(x.encode("utf-8", "replace")) <= limit:  # a token has at least one byte
                     continue
-                if len(encode(x)) <= limit:
+                if measure(x) <= limit:
                     continue
-                rows += [(i, p, s, e, n, k, x[s:e]) for p, (s, e, n, k) in enumerate(split(x, encode, limit, overlap))]
+                rows += [(i, p, s, e, n, k, x[s:e]) for p, (s, e, n, k) in enumerate(split(x, encode, limit, overlap, measure=measure))]
             cols = list(zip(*rows)) if rows else [[] for _ in range(7)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(cols[0], pa.int32())), *[pa.array(c, f.type) for c, f in zip(cols[1:], list(arrow)[1:])]], schema=arrow
