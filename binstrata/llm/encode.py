@@ -60,91 +60,94 @@ def cuts(text: str, least: int = LEAST, greatest: int = GREATEST, bits: int = BI
     return out
 
 
-def words(enc) -> tuple[list[int], list[int]]:
-    """``(ends, counts)``: the character end of each word of an encoding and the tokens up to it."""
-    ends: list[int] = []
+def boundaries(text: str, t) -> tuple[list[int], list[int], list[int]]:
+    """``(ids, ends, counts)`` of a text: its ids, where each of the splitter's words ends, white space
+    included, and the number of ids up to there."""
+    enc = t.encode(text, add_special_tokens=False)
+    ends = [e for _, (_, e) in t.pre_tokenizer.pre_tokenize_str(text)]
     counts: list[int] = []
     last = None
-    for k, (w, (_, e)) in enumerate(zip(enc.word_ids, enc.offsets)):
+    for k, w in enumerate(enc.word_ids):
         if w == last:
-            ends[-1], counts[-1] = max(ends[-1], e), k + 1
+            counts[-1] = k + 1
         else:
-            ends.append(e)
             counts.append(k + 1)
             last = w
-    return ends, counts
-
-
-def _boundaries(text: str, t) -> tuple[list[int], list[int], list[int]]:
-    """``(ids, ends, counts)`` of a text, ends being those of the splitter's words, white space
-    included."""
-    enc = t.encode(text, add_special_tokens=False)
-    pre = t.pre_tokenizer.pre_tokenize_str(text)
-    starts = [s for _, (s, _) in pre]
-    ends = [e for _, (_, e) in pre]
-    del starts
-    _, counts = words(enc)
     if len(counts) != len(ends):  # the splitter and the encoder disagree on words: no boundary but the end
         return enc.ids, [len(text)], [len(enc.ids)]
     return enc.ids, ends, counts
 
 
-def join_chunks(chunks: list[tuple[str, list[int]]], encode) -> list[int]:
+class Chunk:
+    """A chunk with its ids and the first and last few word boundaries, as ``(end, count)``; the others
+    are found by encoding it again, should they be needed."""
+
+    def __init__(self, text: str, ids: list[int], head: list[tuple[int, int]] = (), tail: list[tuple[int, int]] = (), encode=None):
+        self.text, self.ids, self.head, self.tail = text, ids, head, tail
+        self._encode, self._all = encode, None
+
+    def all(self) -> list[tuple[int, int]]:
+        if self._all is None:
+            _, ends, counts = self._encode(self.text)
+            self._all = list(zip(ends, counts))
+        return self._all
+
+
+def _certain(marks: list[tuple[int, int]], first_start: int | None, length: int, skip: int) -> tuple[int, int] | None:
+    """The last boundary ``(end, count)`` that the end of the known text, at ``length``, had no part in."""
+    best, start = None, first_start
+    for e, c in marks:
+        if start is not None:
+            if e + BEYOND > length or start + CONTRACTION > length:
+                break
+            if c >= skip:
+                best = (e, c)
+        start = e
+    return best
+
+
+def join_chunks(chunks: list[Chunk], encode) -> list[int]:
     """Ids of the concatenated text from the chunks' own ids.
 
-    ``chunks``: ``(text, ids)`` in order; ``encode(text)`` gives ``(ids, ends, counts)``. For each join
-    the result so far is certain up to ``sure``; what lies beyond is encoded again with as much of the
-    next chunk as agreement takes.
+    ``encode(text)`` gives ``(ids, ends, counts)``. For each join, the result is certain up to a word
+    near the end of what is known; from there the text is encoded across the join, with as much of the
+    next chunk as it takes until one of its own boundaries is met.
     """
-    if len(chunks) == 1:
-        return list(chunks[0][1])
-    whole = "".join(c for c, _ in chunks)
     out: list[int] = []
-    ends, counts = encode(chunks[0][0])[1:]
-    base, offset = 0, 0  # where the current stretch starts in the text, and its tokens already in out
-    ids = chunks[0][1]
-    skip = 0  # tokens of the stretch that are not used
-    limit = len(chunks[0][0])  # where the known text ends
-    for nxt, nxt_ids in chunks[1:]:
-        # certain words of the current stretch
-        keep_tokens, sure = skip, None
-        start = 0
-        for e, c in zip(ends, counts):
-            if base + e + BEYOND <= limit and base + start + CONTRACTION <= limit and c >= skip:
-                keep_tokens, sure = c, base + e
-            elif base + e + BEYOND > limit or base + start + CONTRACTION > limit:
-                break
-            start = e
-        if sure is None:
-            sure = base + offset
-        out += ids[skip:keep_tokens]
-        n_ids, n_ends, n_counts = encode(nxt)
-        right_at = {limit + e: c for e, c in zip(n_ends, n_counts)}
-        reach = limit + len(nxt)
-        step = 64
+    cur, skip, emitted = chunks[0], 0, 0  # the stretch, its tokens and characters that are out already
+    for nxt in chunks[1:]:
+        n = len(cur.text)
+        sure = _certain(cur.tail, None, n, skip) or _certain(cur.all(), 0, n, skip) or (emitted, skip)
+        out += cur.ids[skip : sure[1]]
+        rest = cur.text[sure[0] :]
+        at, step, complete = dict(nxt.head), 64, False
         while True:
-            to = min(reach, limit + step)
-            w_ids, w_ends, w_counts = encode(whole[sure:to])
-            agreed = None
-            start = 0
+            if not complete and step > max(at, default=0):
+                at, complete = (dict(nxt.all()), True) if step > 64 or not at else (at, False)
+            window = rest + nxt.text[:step]
+            w_ids, w_ends, w_counts = encode(window)
+            whole = step >= len(nxt.text)
+            met, start = None, 0
             for e, c in zip(w_ends, w_counts):
-                if sure + e + BEYOND > to or sure + start + CONTRACTION > to:
+                if e + BEYOND > len(window) or start + CONTRACTION > len(window):
                     break
-                if sure + e in right_at:
-                    agreed = (c, right_at[sure + e], sure + e)
+                if e - len(rest) in at:
+                    met = (c, at[e - len(rest)], e - len(rest))
                     break
                 start = e
-            if agreed or to == reach:
+            if met or (whole and complete):
                 break
-            step *= 4
-        if agreed:
-            out += w_ids[: agreed[0]]
-            base, ids, ends, counts, skip, offset = limit, n_ids, n_ends, n_counts, agreed[1], agreed[2] - limit
-        else:  # no agreement within the chunk: the stretch is the whole of it, encoded anew
-            base, ids, ends, counts, skip, offset = sure, w_ids, w_ends, w_counts, 0, 0
-        limit = reach
-    out += ids[skip:]
-    return out
+            if whole:
+                at, complete = dict(nxt.all()), True
+            else:
+                step *= 4
+        if met:
+            out += w_ids[: met[0]]
+            cur, skip, emitted = nxt, met[1], met[2]
+        else:  # no boundary of the chunk is one of the text's: the stretch goes on, encoded anew
+            cur, skip, emitted = Chunk(window, w_ids, (), (), encode), 0, 0
+            cur._all = list(zip(w_ends, w_counts))
+    return out + list(cur.ids[skip:])
 
 
 def chunk_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -175,9 +178,15 @@ def chunk_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.length(text) > 0).select(key, text).mapInArrow(run, schema)
 
 
+#: Word boundaries kept of each end of a chunk.
+KEPT = 8
+
+
 def encode_chunks(chunks: DataFrame, folder: str) -> DataFrame:
-    """``(chunk, ids)`` of distinct chunks."""
-    schema = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    """``(chunk, ids, head, tail)`` of distinct chunks; ``head`` and ``tail`` hold ends and counts of the first
+    and last words, by turns, and are empty for chunks that are mostly whole texts."""
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("chunk", T.StringType()), *[T.StructField(c, numbers) for c in ("ids", "head", "tail")]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -185,8 +194,21 @@ def encode_chunks(chunks: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(folder)
         for b in batches:
-            ids = [e.ids for s in slices(b.column(0).to_pylist()) for e in t.encode_batch_fast(s, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, arrow.field(1).type)], schema=arrow)
+            texts = b.column(0).to_pylist()
+            short = iter([e.ids for s in slices([x for x in texts if len(x) < LEAST]) for e in t.encode_batch_fast(s, add_special_tokens=False)])
+            ids, head, tail = [], [], []
+            for x in texts:
+                if len(x) < LEAST:
+                    ids.append(next(short))
+                    head.append([])
+                    tail.append([])
+                    continue
+                i, ends, counts = boundaries(x, t)
+                ids.append(i)
+                marks = [v for m in zip(ends, counts) for v in m]
+                head.append(marks[: 2 * KEPT])
+                tail.append(marks[-2 * KEPT :])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, arrow.field(1).type) for c in (ids, head, tail)]], schema=arrow)
 
     return chunks.select("chunk").mapInArrow(run, schema)
 
@@ -207,10 +229,10 @@ def encode_corpus(docs: DataFrame, key: str, text: str, scratch: Scratch, folder
     salted = lambda df: df.join(hot, F.col("h") == F.col("__hot"), "left")
     refs = salted(pieces).withColumn("salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.lit(salts)))).drop("__hot")
     spread = salted(encoded).withColumn("salt", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    spread = spread.select(F.col("h").alias("__h"), F.col("salt").alias("__salt"), "chunk", "ids")
-    placed = refs.join(spread, (F.col("h") == F.col("__h")) & (F.col("salt") == F.col("__salt"))).select(key, "n", "pos", "chunk", "ids")
+    spread = spread.select(F.col("h").alias("__h"), F.col("salt").alias("__salt"), "chunk", "ids", "head", "tail")
+    placed = refs.join(spread, (F.col("h") == F.col("__h")) & (F.col("salt") == F.col("__salt"))).select(key, "n", "pos", "chunk", "ids", "head", "tail")
 
-    by_doc = placed.where("n > 1").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "chunk", "ids"))).alias("parts"))
+    by_doc = placed.where("n > 1").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "chunk", "ids", "head", "tail"))).alias("parts"))
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -219,9 +241,10 @@ def encode_corpus(docs: DataFrame, key: str, text: str, scratch: Scratch, folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(folder)
-        encode = lambda x: _boundaries(x, t)
+        encode = lambda x: boundaries(x, t)
+        pairs = lambda m: list(zip(m[::2], m[1::2]))
         for b in batches:
-            ids = [join_chunks([(p["chunk"], p["ids"]) for p in parts], encode) for parts in b.column(1).to_pylist()]
+            ids = [join_chunks([Chunk(p["chunk"], p["ids"], pairs(p["head"]), pairs(p["tail"]), encode) for p in parts.as_py()], encode) for parts in b.column(1)]  # one text at a time
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, arrow.field(1).type)], schema=arrow)
 
     single = placed.where("n = 1").select(key, "ids")
