@@ -55,3 +55,12 @@ def presence(intervals: DataFrame, parts: DataFrame) -> DataFrame:
         (F.greatest("__lo", "idx_lo") + F.col("shift")).alias("lo"),
         (F.least("__hi", "idx_hi") + F.col("shift")).alias("hi"),
     )
+
+
+def object_series(intervals: DataFrame, multiscans: DataFrame, dataset: str, dt: int, path: str) -> DataFrame:
+    """``(label, b, o)`` of one object over all scans of its dataset, whatever archive each is read from;
+    identity (0, 0) where it is absent."""
+    catalog = scan_catalog(multiscans.where(F.col("dataset") == dataset))
+    rows = presence(intervals.where((F.col("dt") == dt) & (F.col("path") == path)), segments(catalog))
+    states = rows.select(F.explode(F.sequence("lo", "hi")).alias("__s"), "b", "o").distinct()
+    return catalog.join(states, F.col("scan") == F.col("__s"), "left").select("label", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("o", F.lit(0)).alias("o"))

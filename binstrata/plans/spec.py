@@ -91,8 +91,6 @@ def check_template(template: str, ladders: bool) -> None:
         raise SpecError("more than one {hash} in the key template")
     if hashes and hashes[0] and not 8 <= int(hashes[0]) <= 32:
         raise SpecError("{hash:N} needs N from 8 to 32")
-    if hashes and not hashes[0] and not re.search(r"\{(?!hash)\w+\}", template):
-        pass  # alone it stands for all 32 digits
 
 
 def from_mapping(m: Mapping) -> PyramidSpec:
@@ -138,6 +136,20 @@ def from_mapping(m: Mapping) -> PyramidSpec:
     return PyramidSpec(m.get("name", "pyramid"), tiers, tuple(dims), metrics, m.get("binCol", "ts"), axis, template, dims, geo, rollup, scan, Limits(**m.get("limits", {})))
 
 
+def from_text(text: str) -> PyramidSpec:
+    """A spec from JSON, or from YAML where a parser for it is installed."""
+    import json
+
+    try:
+        return from_mapping(json.loads(text))
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise SpecError("reading YAML needs the yaml package") from e
+        return from_mapping(yaml.safe_load(text))
+
+
 def merge_rungs(spec: PyramidSpec, extra: Mapping[str, Sequence[str]]) -> PyramidSpec:
     """The spec with further rungs folded into the ladders of its tiers."""
     tiers = []

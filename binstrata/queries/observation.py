@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from binstrata.functions import timeaxis as ta
 from binstrata.operators import archives, build, geo, scans, treediff
+from binstrata.operators.consolidate import Archives
 from binstrata.operators.diffindex import DiffIndex
 from binstrata.plans import cover
 from binstrata.plans import geo_cover as g
 from binstrata.plans.spec import PyramidSpec, Tier
 from binstrata.queries.common import EVENT_MS, EVENTS, Book, sql_floor
+from binstrata.queries.data_ops import _CATALOG
 from binstrata.session import Scratch, table
 from binstrata.sources.store import VersionedStore
 
@@ -98,6 +100,31 @@ def m10(spark, d):
     return scans.series(intervals(spark, d), STATES, labels, k=42)
 
 
+_OBJECT = "(SELECT min(dataset) FROM pyramid_multiscans)"
+_PATH = f"(SELECT min(i.path) FROM intervals i JOIN pyramid_multiscans m ON m.key = i.key WHERE m.dataset = {_OBJECT} AND i.dt = 0)"
+
+
+@book.add("M11_series_across_archives", f"WITH {_CATALOG}, l AS (SELECT label, scan FROM owned WHERE dataset = {_OBJECT}), p AS (SELECT DISTINCT scan, b, o FROM present WHERE dataset = {_OBJECT} AND dt = 0 AND path = {_PATH}) SELECT label, coalesce(b, 0) AS b, coalesce(o, 0) AS o FROM l LEFT JOIN p USING (scan)")
+def m11(spark, d):
+    """One object over all archives of its dataset."""
+    ms, iv = table(spark, d, "pyramid_multiscans"), table(spark, d, "intervals")
+    first = ms.agg(F.min("dataset")).first()[0]
+    keys = ms.where(F.col("dataset") == first).select("key").distinct()
+    path = iv.where("dt = 0").join(keys, "key", "left_semi").agg(F.min("path")).first()[0]
+    return archives.object_series(iv, ms, first, 0, path)
+
+
+@book.add("M26_sealed_archives", f"WITH s AS ({SCANS_SQL}) SELECT k, size, n FROM s WHERE scan = 4")
+def m26(spark, d):
+    """Six scans sealed into archives of two, each verified, then one read back."""
+    a = Archives(VersionedStore(spark, Scratch(spark, "archives").root), KEYS, STATES)
+    labels, rows = [f"s{j}" for j in range(N)], [one_scan(spark, d, j) for j in range(N)]
+    a.seal(labels, rows, size=2)
+    if a.seal(labels, rows, size=2) or not all(a.verified(lab, r) for lab, r in zip(labels, rows)):
+        raise AssertionError("sealed twice or not verified")
+    return a.scan("s4")
+
+
 STAMPS = [100, 200, 300, 400, 500, 600]
 
 

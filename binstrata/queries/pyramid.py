@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from binstrata.functions import timeaxis as ta
 from binstrata.operators import build, inventory, serve
+from binstrata.operators.fill import fill, insert_statements
 from binstrata.operators.registry import live_rows
 from binstrata.plans import cover, planner
 from binstrata.plans.spec import PyramidSpec, Tier
@@ -134,6 +135,28 @@ def b18(spark, d):
     return states(t["d"].where(~hole).unionByName(filled).where(F.col("dt") >= T0))
 
 
+@book.add("B20_fill_driver", states_sql(D, where=between(ALL[0], ALL[1] - 3 * ta.DAY, D)))
+def b20(spark, d):
+    """Gaps of the whole cover filled in two runs, the first stopped early and some shards of hours invalidated
+    between; then the day tier read back (B8, B9, B14, B19, B20, B21, F8)."""
+    root, reg = Scratch(spark, "fill").root, Registry(VersionedStore(spark, Scratch(spark, "fill-registry").root))
+    spec = PyramidSpec("events", EVENTS.tiers[:3], EVENTS.dims, EVENTS.metrics, bin_col="dt", key_template="{tier}/{shard}/{period}")
+    base, end = events_base(spark, d), ALL[1] - 3 * ta.DAY
+    lo, hi = ta.floor(ALL[0], "4d"), ta.floor(end, "4d")
+    fill(base, spec, root, reg, lo, hi, now=1, max_gaps=9)
+    again = spark.createDataFrame([("events", T0, T0 + ta.DAY, 2)], "pyramid string, a bigint, b bigint, r bigint")
+    fill(base, spec, root, reg, lo, hi, now=3, requests=again)
+    out = spark.read.schema(base.schema).parquet(f"{root}/tier=d/shard=4d").select(base.columns)
+    rest = build.rebin(base.where(F.col("dt") >= hi), spec, "1d").where(F.col("dt") < end)
+    return states(out.unionByName(rest))
+
+
+@book.add("B27_registry_inserts", f"SELECT 'INSERT INTO pyramid_shards (key, n) VALUES (''' || o_orderpriority || ''', ' || count(*) || ');' AS sql FROM orders GROUP BY o_orderpriority")
+def b27(spark, d):
+    rows = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return insert_statements(rows)
+
+
 _ROLL = "SELECT dt, who, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS v_sum FROM (SELECT {H} AS dt, 'u:' || user_id AS who, 1 AS n, CAST(round(value * 100) AS BIGINT) AS c FROM events UNION ALL SELECT {H}, 'c:' || (user_id % 7), 1, CAST(round(value * 100) AS BIGINT) FROM events WHERE user_id % 5 <> 0) GROUP BY ALL"
 
 
