@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     """All records after a compaction, each once, with their partition and whether it was rewritten."""
-    files, records = _files(spark, d), table(spark, d, "longform")
+    files, records = Scratch(spark, "p1-files").write(_files(spark, d), "files"), table(spark, d, "longform")
     c = Compactor(_store(spark, "p1"), BY_MONTH)
     c.compact(files, records, current=lambda: _files(spark, d))
     return c.read(files, records).select("rec_id", "key", "dt", *BY_MONTH, "rewritten")
