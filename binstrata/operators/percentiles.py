@@ -226,7 +226,7 @@ def percentiles(
         for c in by:
             on = on & state[c].eqNullSafe(F.col(f"__c_{c}"))
         seen = Observation()
-        nxt = state.join(gathered, on).select(*by, "salts", "st", "said").mapInArrow(decide, next_schema)
+        nxt = state.join(gathered.hint("merge"), on).select(*by, "salts", "st", "said").mapInArrow(decide, next_schema)
         state = scratch.write(nxt.observe(seen, F.count_if(waiting).alias("open")), f"round-{r}")
         finished.append(state.where(~waiting))
         if not seen.get["open"]:
