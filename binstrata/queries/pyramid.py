@@ -13,7 +13,7 @@ from binstrata.plans import cover, planner
 from binstrata.plans.spec import PyramidSpec, Tier
 from binstrata.queries.common import EVENT_MS, EVENTS, EVENTS_HIST, SHIPPED, Book, cents, events_base, events_tiers, shipped_tiers, sql_floor, states, states_sql
 from binstrata.session import Scratch, table
-from binstrata.sources.shards import Registry, content_key, tiled_source, write_shard
+from binstrata.sources.shards import Registry, content_key, tiled_source, write_tiles
 from binstrata.sources.store import VersionedStore
 from binstrata.streaming import tip
 
@@ -327,16 +327,32 @@ def q16(spark, d):
 
 @book.add("S3_tiled_source", f"SELECT {D} AS dt, count(*) AS n FROM events {between(T0, T0 + 3 * ta.DAY, D)} GROUP BY ALL")
 def s3(spark, d):
-    """Daily tiles written as files and read back by range; a missing tile is reported, not an error."""
+    """Daily tiles of the whole table written as files, and three of them read back by range."""
+    rows, missing = _tiles(spark, d, T0, T0 + 3 * ta.DAY)
+    if missing:
+        raise AssertionError(missing)
+    return rows
+
+
+@book.add("S3_tiled_source_whole", f"SELECT {D} AS dt, count(*) AS n FROM events GROUP BY ALL")
+def s3_whole(spark, d):
+    """The same for every day of the table, and the day after its last, which has no tile."""
+    days = table(spark, d, "events").select(ta.floor_col(ta.ms_of("ts"), "1d").alias("dt")).where("dt IS NOT NULL").distinct()
+    have = sorted(r[0] for r in days.collect())  # one number a day
+    lo, hi = have[0], have[-1] + 2 * ta.DAY
+    rows, missing = _tiles(spark, d, lo, hi)
+    if missing != [ta.label(a, "1d") for a in range(lo, hi, ta.DAY) if a not in set(have)]:
+        raise AssertionError(missing)
+    return rows
+
+
+def _tiles(spark, d, lo, hi):
+    """Every day's tile written by one job; rows by day of those of a range, and the missing ones."""
     root = Scratch(spark, "tiles").root
     e = table(spark, d, "events").withColumn("dt", ta.floor_col(ta.ms_of("ts"), "1d"))
-    for k in range(3):
-        a = T0 + k * ta.DAY
-        write_shard(e.where(F.col("dt") == a), f"{root}/{ta.label(a, '1d')}.parquet", ["ts"])
-    rows, missing = tiled_source(spark, root, "1d", e.schema, T0, T0 + 4 * ta.DAY)
-    if missing != [ta.label(T0 + 3 * ta.DAY, "1d")]:
-        raise AssertionError(missing)
-    return rows.groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    write_tiles(e.withColumn("tile", ta.label_col("dt", "1d")), root, "tile", ["ts"])
+    rows, missing = tiled_source(spark, root, "1d", e.schema, lo, hi)
+    return rows.groupBy("dt").agg(F.count(F.lit(1)).alias("n")), missing
 
 
 @book.add("S5_content_addressed", "SELECT o_orderpriority, true AS same FROM orders GROUP BY ALL")
@@ -469,10 +485,22 @@ def f14(spark, d):
 
 @book.add("S13_tip_stream", f"SELECT {sql_floor(EVENT_MS, '15min')} AS dt, event_type, user_id, value FROM events WHERE {D} < {T0} QUALIFY row_number() OVER (PARTITION BY {EVENT_MS}, event_type, user_id ORDER BY value DESC) = 1")
 def s13(spark, d):
-    """A stream of files merged into the open shards, each delivery twice."""
+    """The first four days of the tip that the whole table was streamed into."""
+    return _tip(spark, d).where(F.col("dt") < T0)
+
+
+@book.add("S13_tip_stream_whole", f"SELECT {sql_floor(EVENT_MS, '15min')} AS dt, event_type, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY {EVENT_MS}, event_type, user_id ORDER BY value DESC) = 1")
+def s13_whole(spark, d):
+    """The whole table streamed into the tip."""
+    return _tip(spark, d)
+
+
+def _tip(spark, d):
+    """A stream of files of all events merged into the open shards, each delivery twice."""
     root, scratch = Scratch(spark, "tip").root, Scratch(spark, "stream")
-    e = table(spark, d, "events").select(ta.floor_col(ta.ms_of("ts"), "15min").alias("dt"), ta.ms_of("ts").alias("ms"), "event_type", "user_id", "value").where(F.floor(F.col("ms") / ta.DAY) * ta.DAY < T0)
-    e.repartition(2).write.parquet(f"{scratch.root}/in")
+    e = table(spark, d, "events").select(ta.floor_col(ta.ms_of("ts"), "15min").alias("dt"), ta.ms_of("ts").alias("ms"), "event_type", "user_id", "value")
+    arrival = F.col("dt") + F.pmod(F.hash("user_id", "ms"), F.lit(3)) * ta.DAY  # up to two days late: batches meet shards of those before
+    e.repartitionByRange(6, arrival).write.parquet(f"{scratch.root}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/in")
     put = tip.tip_writer(EVENTS, root, ["ms", "event_type", "user_id"], "value")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,22 @@ def write_shard(df: DataFrame, path: str, sort: Sequence[str], files: int = 1, r
     writer.parquet(path)
 
 
+def write_tiles(df: DataFrame, root: str, label: str, sort: Sequence[str]) -> None:
+    """Write one sorted tile for each value of the column ``label``, under the names that
+    :func:`tiled_source` reads, by one job parted by it. Rows without a label have no tile."""
+    spark, staged = df.sparkSession, f"{root}/_staged-{uuid.uuid4().hex}"
+    df.where(F.col(label).isNotNull()).repartition(label).sortWithinPartitions(label, *sort).write.option("compression", "snappy").partitionBy(label).parquet(staged)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(fs_path(staged)):
+        if s.isDirectory():
+            tile = fs_path(f"{root}/{s.getPath().getName().split('=', 1)[1]}.parquet")
+            fs.delete(tile, True)
+            if not fs.rename(s.getPath(), tile):
+                raise OSError(f"could not move {tile}")
+    fs.delete(fs_path(staged), True)
+
+
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options) -> DataFrame:
     """A table of one of the built-in formats (parquet, orc, csv, json) or of a JDBC source."""
     reader = spark.read.format(kind).options(**options)
