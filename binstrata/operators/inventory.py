@@ -102,9 +102,9 @@ def list_shards(registered: DataFrame, tier: str | None = None, lo: int | None =
     return out if hi is None else out.where(F.col("period_start") < hi)
 
 
-def source_cover(gap_table: DataFrame, registered: DataFrame, spec: PyramidSpec) -> DataFrame:
-    """For each gap ``(tier, shard_dur, period_start, period_end)``, how much of it the registered shards
-    of its source tier cover: ``covered`` and ``uncovered`` ms and the number of picks."""
+def source_cover(gap_table: DataFrame, registered: DataFrame, spec: PyramidSpec, by: Sequence[str] = ()) -> DataFrame:
+    """For each gap ``(*by, tier, shard_dur, period_start, period_end)``, how much of it the registered shards
+    of its source tier, with the same ``by``, cover: ``covered`` and ``uncovered`` ms and the number of picks."""
     from binstrata.plans.cover import source_tier
 
     pairs = [(t.name, s.name) for t in spec.tiers if (s := source_tier(spec, t.name))]
@@ -113,16 +113,19 @@ def source_cover(gap_table: DataFrame, registered: DataFrame, spec: PyramidSpec)
         one = gap_table.where(F.col("tier") == tier).withColumn("source", F.lit(src))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return gap_table.where(F.lit(False)).select(*SLOT, "period_end", F.lit("").alias("source"), F.lit(0).alias("picks"), F.lit(0).alias("covered"), F.lit(0).alias("uncovered"))
-    r = registered.select(F.col("tier").alias("__t"), F.col("period_start").alias("__s"), F.col("period_end").alias("__e"), F.col("shard_dur").alias("__d"))
+        return gap_table.where(F.lit(False)).select(*by, *SLOT, "period_end", F.lit("").alias("source"), F.lit(0).alias("picks"), F.lit(0).alias("covered"), F.lit(0).alias("uncovered"))
+    r = registered.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("tier").alias("__t"), F.col("period_start").alias("__s"), F.col("period_end").alias("__e"), F.col("shard_dur").alias("__d"))
     day = ta.DAY
     gap_cells = out.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("period_start") / day), F.floor((F.col("period_end") - 1) / day))))
     r_cells = r.withColumn("__rcell", F.explode(F.sequence(F.floor(F.col("__s") / day), F.floor((F.col("__e") - 1) / day))))
-    hits = gap_cells.join(r_cells, (F.col("source") == F.col("__t")) & (F.col("__cell") == F.col("__rcell")) & (F.col("__s") < F.col("period_end")) & (F.col("period_start") < F.col("__e")))
-    hits = hits.select(*SLOT, "period_end", "source", "__d", F.greatest("__s", "period_start").alias("a"), F.least("__e", "period_end").alias("b")).distinct()
+    on = (F.col("source") == F.col("__t")) & (F.col("__cell") == F.col("__rcell")) & (F.col("__s") < F.col("period_end")) & (F.col("period_start") < F.col("__e"))
+    for c in by:
+        on = on & (F.col(c) == F.col(f"__by_{c}"))
+    hits = gap_cells.join(r_cells, on)
+    hits = hits.select(*by, *SLOT, "period_end", "source", "__d", F.greatest("__s", "period_start").alias("a"), F.least("__e", "period_end").alias("b")).distinct()
     from binstrata.operators.sweep import periods_and_gaps
 
-    key = [*SLOT, "period_end", "source"]
+    key = [*by, *SLOT, "period_end", "source"]
     n = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("picks"))
     merged = periods_and_gaps(hits, tuple(key), "a", "b").where("kind = 'period'").groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
     res = out.select(*key).join(n, key, "left").join(merged, key, "left")

@@ -92,11 +92,30 @@ def b13(spark, d):
     """How much of each missing four-day shard the hour tier's shards of one pyramid cover."""
     shards = table(spark, d, "pyramid_shards")
     first = shards.where("tier = 'd'").agg(F.min("pyramid")).first()[0]
-    live = live_rows(shards.where(F.col("pyramid") == first)).where("period_end > period_start").select("tier", "shard_dur", F.unix_millis("period_start").alias("period_start"), F.unix_millis("period_end").alias("period_end"))
-    lo, hi = live.agg(F.min("period_start"), F.max("period_start")).first()
+    rows = _source_cover(shards.where(F.col("pyramid") == first))
+    return rows.where(F.col("period_start") < rows.agg(F.max("period_start")).first()[0]).drop("pyramid")  # its SQL ends before the last slot
+
+
+@book.add("B13_source_cover_whole", """WITH live AS (SELECT pyramid, tier, epoch_ms(period_start) AS a, epoch_ms(period_end) AS b FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur, period_start ORDER BY written_at DESC NULLS LAST) rn FROM pyramid_shards) WHERE rn = 1 AND period_end > period_start),
+edges AS (SELECT pyramid, min(a) // 345600000 AS k0, max(a) // 345600000 AS k1 FROM live WHERE pyramid IS NOT NULL GROUP BY 1),
+gaps AS (SELECT pyramid, CAST(k * 345600000 AS BIGINT) AS g0, CAST((k + 1) * 345600000 AS BIGINT) AS g1 FROM (SELECT pyramid, UNNEST(range(k0, k1 + 1)) AS k FROM edges)),
+p AS (SELECT pyramid, g0, g1, greatest(a, g0) AS a, least(b, g1) AS b FROM gaps JOIN live USING (pyramid) WHERE live.tier = 'h' AND a < g1 AND g0 < b),
+v AS (SELECT *, max(b) OVER (PARTITION BY pyramid, g0 ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+c AS (SELECT pyramid, g0, CAST(sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS BIGINT) AS covered FROM v GROUP BY ALL)
+SELECT pyramid, g0 AS period_start, g1 AS period_end, coalesce(covered, 0) AS covered, g1 - g0 - coalesce(covered, 0) AS uncovered FROM gaps LEFT JOIN c USING (pyramid, g0)""")
+def b13_whole(spark, d):
+    """The same for every pyramid."""
+    return _source_cover(table(spark, d, "pyramid_shards"))
+
+
+def _source_cover(shards):
+    """Cover of the four-day slots of each pyramid, from its first registered instant to its last."""
+    live = live_rows(shards).where("period_end > period_start AND pyramid IS NOT NULL").select("pyramid", "tier", "shard_dur", F.unix_millis("period_start").alias("period_start"), F.unix_millis("period_end").alias("period_end"))
     w = 4 * ta.DAY
-    gaps = spark.range(lo // w, hi // w).select(F.lit("d").alias("tier"), F.lit("4d").alias("shard_dur"), (F.col("id") * w).alias("period_start"), ((F.col("id") + 1) * w).alias("period_end"))
-    return inventory.source_cover(gaps, live, _TIERS).select("period_start", "period_end", "covered", "uncovered")
+    slot = lambda c: F.floor(F.col(c) / w) * w
+    edges = live.groupBy("pyramid").agg(F.min("period_start").alias("a"), F.max("period_start").alias("b"))
+    gaps = edges.select("pyramid", F.lit("d").alias("tier"), F.lit("4d").alias("shard_dur"), F.explode(F.sequence(slot("a"), slot("b"), F.lit(w))).alias("period_start")).withColumn("period_end", F.col("period_start") + w)
+    return inventory.source_cover(gaps, live, _TIERS, ["pyramid"]).select("pyramid", "period_start", "period_end", "covered", "uncovered")
 
 
 @book.add("B15_buildable_at", "SELECT tier, CAST(e AS BIGINT) AS period_end, CAST(ceil(e / 86400000.0) * 86400000 AS BIGINT) AS ready FROM (VALUES ('h'), ('d')) t(tier), (SELECT UNNEST(range(1704067200000, 1704326400000, 21600000)) AS e) WHERE tier = 'd' UNION ALL SELECT 'h', e, CAST(ceil(e / 21600000.0) * 21600000 AS BIGINT) FROM (SELECT UNNEST(range(1704067200000, 1704326400000, 21600000)) AS e)")

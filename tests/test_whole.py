@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from binstrata.functions import timeaxis as ta
+from binstrata.operators import inventory
+from binstrata.plans.spec import PyramidSpec, Tier
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -25,3 +27,11 @@ def test_every_day_is_written(spark, name, pattern):
     entry.queries()[name](spark, DATA).collect()
     names = [os.path.basename(p).removeprefix("period=") for p in written(spark, pattern) - before]
     assert {n[:10] for n in names} == days
+
+
+def test_source_cover_keeps_pyramids_apart(spark):
+    spec = PyramidSpec("p", (Tier("h", "1h", ("1d",)), Tier("d", "1d", ("4d",))))
+    gaps = spark.createDataFrame([(p, "d", "4d", 0, 4 * ta.DAY) for p in "ab"], "pyramid string, tier string, shard_dur string, period_start bigint, period_end bigint")
+    have = spark.createDataFrame([("a", "h", "1d", 0, ta.DAY), ("b", "h", "1d", ta.DAY, 3 * ta.DAY), ("c", "h", "1d", 0, 4 * ta.DAY)], gaps.schema)
+    got = inventory.source_cover(gaps, have, spec, ["pyramid"]).collect()
+    assert {(r.pyramid, r.covered // ta.DAY, r.uncovered // ta.DAY) for r in got} == {("a", 1, 3), ("b", 2, 2)}
