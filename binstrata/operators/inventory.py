@@ -133,14 +133,15 @@ def source_cover(gap_table: DataFrame, registered: DataFrame, spec: PyramidSpec,
     return res.select(*key, F.coalesce("picks", F.lit(0)).alias("picks"), F.coalesce("covered", F.lit(0)).alias("covered"), (total - F.coalesce("covered", F.lit(0))).alias("uncovered"))
 
 
-def cover_status(expected: DataFrame, registered: DataFrame, buildable: Column, now: int, grace: int = PENDING_GRACE_MS) -> DataFrame:
-    """``(tier, shard_dur, period_start, period_end, status)``: ``present``, ``pending`` while a shard could
+def cover_status(expected: DataFrame, registered: DataFrame, buildable: Column, now: int, grace: int = PENDING_GRACE_MS, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, tier, shard_dur, period_start, period_end, status)``: ``present``, ``pending`` while a shard could
     not have been built for longer than ``grace``, ``missing``; and ``stale`` for registered slots that
     are no part of the cover."""
-    have = registered.select(*[F.col(c).alias(f"__{c}") for c in SLOT], F.col("period_end").alias("__end"))
+    key = [*by, *SLOT]
+    have = registered.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("period_end").alias("__end"))
     on = F.lit(True)
-    for c in SLOT:
+    for c in key:
         on = on & (F.col(c) == F.col(f"__{c}"))
     both = expected.withColumn("__ready", buildable).join(have, on, "full_outer")
     status = F.when(F.col("tier").isNull(), "stale").when(F.col("__tier").isNotNull(), "present").when(F.col("__ready") > now - grace, "pending").otherwise("missing")
-    return both.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in SLOT], F.coalesce("period_end", "__end").alias("period_end"), status.alias("status"))
+    return both.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in key], F.coalesce("period_end", "__end").alias("period_end"), status.alias("status"))

@@ -502,6 +502,17 @@ def f14(spark, d):
     return inventory.cover_status(expected, one, F.col("period_end"), NOW).select("period_start", "status")
 
 
+@book.add("F14_cover_status_whole", f"WITH {_LIVE}, h AS (SELECT DISTINCT pyramid, period_start FROM live WHERE tier = 'd' AND shard_dur = '4d'), g AS (SELECT pyramid, min(period_start) // 345600000 * 345600000 AS a, max(period_start) // 345600000 * 345600000 AS b FROM h WHERE pyramid IS NOT NULL AND period_start IS NOT NULL GROUP BY 1), e AS (SELECT pyramid, CAST(UNNEST(range(a, b + 1, 345600000)) AS BIGINT) AS s FROM g) SELECT coalesce(e.pyramid, h.pyramid) AS pyramid, coalesce(s, period_start) AS period_start, CASE WHEN s IS NULL THEN 'stale' WHEN period_start IS NOT NULL THEN 'present' WHEN s + 345600000 > {NOW} - 600000 THEN 'pending' ELSE 'missing' END AS status FROM e FULL JOIN h ON e.pyramid = h.pyramid AND s = period_start")
+def f14_whole(spark, d):
+    """The same of every pyramid, over all of its registered span."""
+    one = registry(spark, d).where("tier = 'd' AND shard_dur = '4d'").groupBy("pyramid", "tier", "shard_dur", "period_start").agg(F.max("period_end").alias("period_end"))
+    w = 4 * ta.DAY
+    slot = lambda c: F.floor(c / w) * w
+    edges = one.where("pyramid IS NOT NULL AND period_start IS NOT NULL").groupBy("pyramid", "tier", "shard_dur").agg(slot(F.min("period_start")).alias("lo"), slot(F.max("period_start")).alias("hi"))
+    expected = edges.select("pyramid", "tier", "shard_dur", F.explode(F.sequence("lo", "hi", F.lit(w))).alias("period_start")).withColumn("period_end", F.col("period_start") + w)
+    return inventory.cover_status(expected, one, F.col("period_end"), NOW, by=["pyramid"]).select("pyramid", "period_start", "status")
+
+
 @book.add("S13_tip_stream", f"SELECT {sql_floor(EVENT_MS, '15min')} AS dt, event_type, user_id, value FROM events WHERE {D} < {T0} QUALIFY row_number() OVER (PARTITION BY {EVENT_MS}, event_type, user_id ORDER BY value DESC) = 1")
 def s13(spark, d):
     """The first four days of the tip that the whole table was streamed into."""

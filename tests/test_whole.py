@@ -4,6 +4,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from binstrata.functions import timeaxis as ta
@@ -35,3 +36,11 @@ def test_source_cover_keeps_pyramids_apart(spark):
     have = spark.createDataFrame([("a", "h", "1d", 0, ta.DAY), ("b", "h", "1d", ta.DAY, 3 * ta.DAY), ("c", "h", "1d", 0, 4 * ta.DAY)], gaps.schema)
     got = inventory.source_cover(gaps, have, spec, ["pyramid"]).collect()
     assert {(r.pyramid, r.covered // ta.DAY, r.uncovered // ta.DAY) for r in got} == {("a", 1, 3), ("b", 2, 2)}
+
+
+def test_cover_status_keeps_pyramids_apart(spark):
+    schema = "pyramid string, tier string, shard_dur string, period_start bigint, period_end bigint"
+    expected = spark.createDataFrame([(p, "d", "4d", k * ta.DAY, (k + 4) * ta.DAY) for p in "ab" for k in (0, 4)], schema)
+    have = spark.createDataFrame([("a", "d", "4d", 0, 4 * ta.DAY), ("b", "d", "4d", 4 * ta.DAY, 8 * ta.DAY), ("b", "d", "4d", 8 * ta.DAY, 12 * ta.DAY)], schema)
+    got = inventory.cover_status(expected, have, F.col("period_end"), 100 * ta.DAY, by=["pyramid"]).collect()
+    assert {(r.pyramid, r.period_start // ta.DAY, r.status) for r in got} == {("a", 0, "present"), ("a", 4, "missing"), ("b", 0, "missing"), ("b", 4, "present"), ("b", 8, "stale")}
