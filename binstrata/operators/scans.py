@@ -92,9 +92,47 @@ def scan_digest(rows: DataFrame, dt: str = "dt", path: str = "path", states: Seq
     """``(n, sha256)`` of the present rows of one scan, sorted by path and dt, each as compact JSON and a
     newline. The exact digest of an archive: it orders the whole scan in one task, so it is meant for
     single tiles; :func:`binstrata.functions.monoids.digest` compares scans of any size."""
-    cells = [F.coalesce(F.col(dt), F.lit(0)).cast("string"), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(path, r"\\", r"\\\\"), '"', '\\\\"'), F.lit('"')), *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in states]]
+    return rows.where(~_identity(states)).agg(F.count(F.lit(1)).alias("n"), _sorted_sha(dt, path, states))
+
+
+def _json_string(text: Column) -> Column:
+    """A string as JSON in ASCII: others than printable characters escaped, those beyond 16 bits as two."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c))
+        for raw, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f"), ("\b", "\\b")):
+            out = out.when(c == raw, F.lit(short))
+        two = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))))
+        return out.when((n >= 32) & (n < 127), c).when(n > 0xFFFF, two).otherwise(unit(n))
+
+    plain = ~text.rlike(r'[^ -~]|["\\]')
+    chars = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(chars, escaped), "")), F.lit('"'))
+
+
+def _sorted_sha(dt: str, path: str, states: Sequence[str]) -> Column:
+    cells = [F.coalesce(F.col(dt), F.lit(0)).cast("string"), _json_string(F.col(path)), *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in states]]
     text = F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]\n"))
-    return rows.where(~_identity(states)).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(path, dt, text.alias("t")))), lambda r: r["t"]), ""), 256).alias("sha256"))
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(path, dt, text.alias("t")))), lambda r: r["t"]), ""), 256).alias("sha256")
+
+
+def scan_digests(rows: DataFrame, by: Sequence[str], dt: str = "dt", path: str = "path", states: Sequence[str] = ("b", "o"), most: int = 250_000) -> DataFrame:
+    """``(*by, n, sha256, digest)`` of each scan of ``rows``, told apart by ``by``, each in a group of its own:
+    the exact digest of :func:`scan_digest` for scans of at most ``most`` present rows, null for larger
+    ones, and for all the order-free sum of :func:`binstrata.functions.monoids.digest`, combined before
+    the shuffle."""
+    from binstrata.functions.monoids import digest
+
+    there = rows.where(~_identity(states))
+    sums = there.groupBy(*by).agg(*digest([dt, path, *states]))
+    small = sums.where(F.col("n") <= most).select(*[F.col(c).alias(f"__by_{c}") for c in by])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    exact = _prefixed(there.join(small, on, "left_semi").groupBy(*by).agg(_sorted_sha(dt, path, states)), "__x_")
+    return sums.join(exact, _join_on(sums, by, "__x_"), "left").select(*by, "n", F.col("__x_sha256").alias("sha256"), "digest")
 
 
 def _changed(states: Sequence[str]) -> Column:

@@ -66,19 +66,24 @@ def m6(spark, d):
 
 @book.add("M7_scan_digest")
 def m7(spark, d):
-    """Exact digest of the scans of the least archive of the store, beside the digest on record."""
-    ms = table(spark, d, "pyramid_multiscans").where("digests IS NOT NULL AND encoder = 'interval'")
-    first = ms.agg(F.min("key")).first()[0]
-    row = ms.where(F.col("key") == first).orderBy(F.desc("written_at")).first()
-    rows = table(spark, d, "intervals").where(F.col("key") == first)
-    import json
-
-    out = None
-    for j, label in enumerate(json.loads(row["scans"])):
-        at = scans.extract(rows.select("dt", "path", "b", "o", "__scan_lo", "__scan_hi"), ["b", "o"], j).distinct()
-        one = scans.scan_digest(at).select(F.lit(label).alias("label"), "n", "sha256", F.lit(json.loads(row["digests"]).get(label)).alias("on_record"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Digests of every scan of every archive of the store, of both encoders, beside those on record. A scan
+    without rows has the digest of nothing; repeated rows count once."""
+    newest = F.max_by(F.struct("encoder", "scans", "digests"), F.coalesce(F.unix_micros("written_at"), F.lit(-(1 << 62)))).alias("m")
+    archives = table(spark, d, "pyramid_multiscans").where("key IS NOT NULL").groupBy("dataset", "key").agg(newest).select("dataset", "key", "m.*")
+    labels, record = F.from_json("scans", "array<string>"), F.from_json("digests", "map<string,string>")
+    listed = archives.select("dataset", "key", "encoder", F.posexplode(labels).alias("scan", "label"), record.alias("r"))
+    listed = listed.select("dataset", "key", "encoder", F.col("scan").cast("long").alias("scan"), "label", F.try_element_at("r", F.col("label")).alias("on_record"))
+    span = archives.select("dataset", F.col("key").alias("k"), (F.size(labels) - 1).cast("long").alias("top"))
+    iv = table(spark, d, "intervals")
+    lo, hi = F.coalesce("__scan", "__scan_lo"), F.least(F.coalesce("__scan", "__scan_hi"), F.col("top"))
+    held = iv.join(span, iv["key"] == span["k"]).where(lo <= hi)
+    rows = held.select("dataset", "key", "dt", "path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("b", "o")], F.explode(F.sequence(lo, hi)).alias("scan")).distinct()
+    made = scans.scan_digests(rows, ["dataset", "key", "scan"])
+    made = made.withColumnsRenamed({c: f"m_{c}" for c in made.columns})
+    both = listed.join(made, listed["dataset"].eqNullSafe(F.col("m_dataset")) & (listed["key"] == F.col("m_key")) & (listed["scan"] == F.col("m_scan")), "left")
+    n = F.coalesce("m_n", F.lit(0).cast("long"))
+    sha = F.when(n == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("m_sha256"))
+    return both.select("dataset", "key", "encoder", "label", n.alias("n"), sha.alias("sha256"), F.coalesce("m_digest", F.lit(0).cast("decimal(20,0)")).alias("digest"), "on_record", (sha == F.col("on_record")).alias("same"))
 
 
 @book.add("M8_diff_tables", f"WITH s AS ({SCANS_SQL}) {CHANGE(1, 4)}")
