@@ -127,7 +127,7 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
         choice = None
         inside = places[bisect.bisect_left(places, near) : bisect.bisect_right(places, far)]
         ranked = sorted(inside, key=lambda p: (kinds[p], valley[p], p), reverse=True)
-        for p in ranked[:4]:
+        for p in ranked:
             if (m := count(start, p)) <= limit:
                 choice, kind = p, kinds[p]
                 break
@@ -144,11 +144,9 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
         # overlap: from the most natural boundary within the last tokens of the piece, the earliest of its kind
         earliest = starts[max(0, bisect.bisect_left(ends, choice) - overlap + 1)] if overlap else choice
         options = places[bisect.bisect_left(places, max(earliest, start + 1)) : bisect.bisect_left(places, choice)] if overlap else []
-        start = choice
-        for p in sorted(options, key=lambda p: (-kinds[p], p))[:4]:
-            if count(p, choice) <= overlap:
-                start = p
-                break
+        # if none fits, from the earliest token that does
+        tokens = starts[bisect.bisect_left(starts, max(earliest, start + 1)) : bisect.bisect_left(starts, choice)] if overlap else []
+        start = next((p for p in [*sorted(options, key=lambda p: (-kinds[p], p)), *tokens] if count(p, choice) <= overlap), choice)
 
 
 def split_documents(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, folder: str = TOKENIZERS) -> DataFrame:
