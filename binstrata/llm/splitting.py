@@ -26,6 +26,9 @@ LIMIT, OVERLAP, BLOCK = 512, 64, 20
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, TOKEN = 5, 4, 3, 2, 1, 0
 _BREAK = re.compile(r"(?P<p>\n\s*\n\s*)|(?P<l>\n\s*)|(?P<s>[.!?。！？…]+[\"'”’)\]]*\s+|[。！？]+)|(?P<c>[,;:，、；：]\s*)|(?P<w>\s+)")
 _WORD = re.compile(r"\w+")
+#: Scripts that put no spaces between words: Thai to Myanmar, Khmer, kana, ideographs; and runs too long for a word.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+LONGEST, SCRIPT_GRAM, DUMP_GRAM = 40, 2, 4
 
 
 def boundaries(text: str) -> dict[int, int]:
@@ -51,10 +54,25 @@ class _Block:
         self.squares += (old + by) ** 2 - old * old
 
 
+def terms(text: str) -> list[tuple[int, str]]:
+    """The words of a text, in lower case, with their positions; where no spaces tell words apart, the
+    character n-grams of a run instead."""
+    out: list[tuple[int, str]] = []
+    for m in _WORD.finditer(text):
+        run = m.group()
+        size = SCRIPT_GRAM if _UNSPACED.search(run) else DUMP_GRAM if len(run) > LONGEST else 0
+        if size and len(run) > size:
+            out += [(m.start() + i, run[i : i + size].lower()) for i in range(len(run) - size + 1)]
+        else:
+            out.append((m.start(), run.lower()))
+    return out
+
+
 def depths(text: str, at: list[int], block: int = BLOCK) -> dict[int, float]:
     """How deep the valley of similarity is at each position (ascending): the rise to the highest
-    neighbour on either side, summed, of the cosine between the blocks of words before and after."""
-    found = [(m.start(), m.group()[:24].lower()) for m in _WORD.finditer(text)]
+    neighbour on either side, summed, of the cosine between the blocks of words (see :func:`terms`)
+    before and after."""
+    found = terms(text)
     starts, vocab = [s for s, _ in found], [w for _, w in found]
     left, right = _Block([]), _Block(vocab[:block])
     dot, k, sims = 0, 0, []

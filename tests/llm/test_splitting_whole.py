@@ -25,3 +25,19 @@ def test_all_overlaps_are_tried():
 def test_an_overlap_falls_back_to_a_token():
     ps = splitting.split("x" * 300, spans, 60, 10)
     assert all(p[1] - q[0] == 10 for p, q in zip(ps, ps[1:]))
+
+
+def test_a_turn_of_topic_is_found_in_japanese():
+    # no clause comes twice
+    text = "".join(f"{n}匹の猫は暖かい畳の上で眠る。" for n in "一二三四五六七八九") + "".join(f"株価は{n}円急落し債券が上昇した。" for n in "一二三四五六七八九")
+    turn = text.index("株価")
+    valley = splitting.depths(text, sorted(splitting.boundaries(text)))
+    assert max(valley, key=valley.get) == turn
+
+
+def test_terms():
+    assert splitting.terms("The Cat") == [(0, "the"), (4, "cat")]
+    assert [w for _, w in splitting.terms("日本語")] == ["日本", "本語"]
+    x, y = "a" * 30 + "b", "a" * 30 + "c"
+    assert [w for _, w in splitting.terms(f"{x} {y}")] == [x, y]
+    assert len(splitting.terms("ab" * 100)) == 197
