@@ -2,8 +2,9 @@
 
 Around every boundary that a cut may use (paragraph, line, sentence, clause, word) two blocks of words
 are compared; where their similarity has a valley, the topic changes. Within the window in which a
-piece must end, the best kind of boundary is chosen first and among its boundaries the deepest valley.
-The next piece starts up to ``overlap`` tokens before, at a boundary of its own.
+piece must end, the deepest valley decides among the ends of sentences, lines and paragraphs; only where
+none of these fits, it decides among clauses and words. The next piece starts up to ``overlap`` tokens
+before, at a boundary of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ _WORD = re.compile(r"\w+")
 #: Scripts that put no spaces between words: Thai to Myanmar, Khmer, kana, ideographs; and runs too long for a word.
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 LONGEST, SCRIPT_GRAM, DUMP_GRAM = 40, 2, 4
+#: Parts of a window are tried by whether they end a sentence at least.
+NATURAL = SENTENCE
 
 
 def boundaries(text: str) -> dict[int, int]:
@@ -114,7 +118,9 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
     tokens before the end of the one before. A text within the limit is one piece; an empty one none.
 
     Places are judged by the tokens of the whole text; each piece and each overlap is then encoded
-    alone, and where that gives too many tokens an earlier (for overlaps a later) place is taken.
+    alone, and where that gives too many tokens the next place is tried, through all of them: those of the
+    window by valley, then the shorter ones, then tokens. So a piece ends within a word only where no
+    natural place after its overlap fits. Ties of depth go to the more natural, then to the later place.
     """
     if not 0 <= overlap <= limit // 2:
         raise ValueError("the overlap may be half the limit at most")
@@ -144,8 +150,10 @@ def split(text: str, encode, limit: int = LIMIT, overlap: int = OVERLAP, block:
         far = max(low, ends[min(n - 1, first + limit - 1)])
         choice = None
         inside = places[bisect.bisect_left(places, near) : bisect.bisect_right(places, far)]
-        ranked = sorted(inside, key=lambda p: (kinds[p], valley[p], p), reverse=True)
-        for p in ranked:
+        ranked = sorted(inside, key=lambda p: (kinds[p] >= NATURAL, valley[p], kinds[p], p), reverse=True)
+        # a window without a place that fits: the last natural place before it, if there is one
+        shorter = reversed(places[bisect.bisect_left(places, low) : bisect.bisect_left(places, near)])
+        for p in chain(ranked, shorter):
             if (m := count(start, p)) <= limit:
                 choice, kind = p, kinds[p]
                 break
