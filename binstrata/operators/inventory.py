@@ -39,13 +39,16 @@ def spent_requests(requests: DataFrame, registered: DataFrame, by: Sequence[str]
     """Requests that no stale shard waits for any more; they can be dropped."""
     from binstrata.operators.increments import overlapped_later
 
-    rows = requests.withColumn("id", F.monotonically_increasing_id()) if "id" not in requests.columns else requests
-    # the other way round: a request is alive if a shard overlaps it that was written before it
+    # the other way round: a request is alive if a shard overlaps it that was written before it; requests
+    # that are alike share their fate, so their values are the key
     neg = lambda c: -F.col(c) * 1000
-    left = rows.select(*by, "id", (F.col("a") * 1000).alias("a"), (F.col("b") * 1000).alias("b"), neg("r").alias("t"))
+    named = requests.select(*by, *[F.col(c).alias(f"__{c}") for c in ("a", "b", "r")], (F.col("a") * 1000).alias("a"), (F.col("b") * 1000).alias("b"), neg("r").alias("t"))
     right = registered.select(*by, (F.col("period_start") * 1000).alias("a"), (F.col("period_end") * 1000).alias("b"), neg("written_at").alias("r"))
-    alive = overlapped_later(left, right, list(by), ["id"])
-    return rows.join(alive, "id", "left_anti")
+    alive = overlapped_later(named.distinct(), right, list(by), [*by, "__a", "__b", "__r"]).withColumnsRenamed({c: f"__{c}" for c in by})
+    on = F.lit(True)
+    for c in (*by, "a", "b", "r"):
+        on = on & requests[c].eqNullSafe(F.col(f"__{c}"))
+    return requests.join(alive, on, "left_anti")
 
 
 def collectable(registered: DataFrame, expected: DataFrame, now: int, raw_prefixes: Sequence[str] = (), grace: int = GRACE_MS, limit: int | None = None) -> DataFrame:
@@ -63,9 +66,9 @@ def collectable(registered: DataFrame, expected: DataFrame, now: int, raw_prefix
 
     points = rest.select("key", "tier", nominal("shard_dur").alias("w"), (F.col("period_start") * 1000).alias("a"), (F.col("period_start") * 1000 + 1).alias("b"), (F.col("period_end") * 1000).alias("e"))
     homes = registered.select(F.col("tier").alias("__t"), nominal("shard_dur").alias("__w"), (F.col("period_start") * 1000).alias("__a"), (F.col("period_end") * 1000).alias("__b")).where(F.col("__b") > F.col("__a"))
-    homes = _cells(homes, "__a", "__b", "__own").where("__own").withColumnsRenamed({"lv": "__lv", "cell": "__cell"})
+    homes = _cells(homes, "__a", "__b", 0, 0).withColumnsRenamed({"lv": "__lv", "cell": "__cell"})
     on = (F.col("tier") == F.col("__t")) & (F.col("lv") == F.col("__lv")) & (F.col("cell") == F.col("__cell")) & (F.col("__w") > F.col("w")) & (F.col("__a") <= F.col("a")) & (F.col("__b") >= F.col("e"))
-    covered = _cells(points, "a", "b", "own").join(homes, on, "left_semi").select(F.col("key").alias("__ck")).distinct()
+    covered = _cells(points, "a", "b").join(homes, on, "left_semi").select(F.col("key").alias("__ck")).distinct()
     rest = rest.join(covered, F.col("key") == F.col("__ck"), "left")
     verdict = (
         F.when((F.col("period_end") > now) & (F.col("written_at") + grace > now), "future period within grace")

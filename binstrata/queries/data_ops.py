@@ -74,25 +74,35 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("origin", "pyramid", "tier", "kind", F.col("lo").alias("lo_ms"), F.col("hi").alias("hi_ms"))
 
 
+def _shards(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "pyramid_shards"), table(spark, d, "pyramid_watermarks"), table(spark, d, "invalidation")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Shards that are new, rewritten or invalidated since the last successful run."""
-    out = increments.pending_shards(table(spark, d, "pyramid_shards"), table(spark, d, "pyramid_watermarks"), table(spark, d, "invalidation"), _store(spark, "p5"))
-    return out.select("pyramid", "tier", "shard_dur", F.unix_millis("period_start").alias("period_start_ms"))
+    """Shards that are new, rewritten or invalidated since the last successful run: the run's state is
+    committed from the marks, the run selects by it, writes what it selected and swaps the state."""
+    tracker, scratch = increments.ChangeTracker(_store(spark, "p5"), increments.SLOT), Scratch(spark, "p5")
+    todo = increments.pending_shards(*_shards(spark, d), tracker)
+    out = scratch.write(todo.select("pyramid", "tier", "shard_dur", F.unix_millis("period_start").alias("period_start_ms")), "selected")
+    tracker.commit()
+    return out
 
 
 def p5_next_run(spark: SparkSession, d: str) -> DataFrame:
     """Three runs: the first commits, then every shard of one month is rewritten and the second fails
     before it commits; the third must select exactly the rewritten ones."""
     store = _store(spark, "p5")
-    contents = increments.shard_contents(live_rows(table(spark, d, "pyramid_shards")), table(spark, d, "invalidation"))
-    tracker = increments.ChangeTracker(store, increments.SLOT)
-    tracker.pending(contents, increments.state_from_marks(contents, table(spark, d, "pyramid_watermarks")))
-    tracker.commit(contents)
+    first = increments.ChangeTracker(store, increments.SLOT)
+    increments.pending_shards(*_shards(spark, d), first)
+    contents = spark.read.parquet(first.staged)
+    first.commit()
     rewritten = F.date_format("period_start", "yyyy-MM") == "2024-03"
     later = contents.withColumn("content", F.when(rewritten, F.sha2(F.concat(F.lit("again"), F.col("content")), 256)).otherwise(F.col("content")))
     increments.ChangeTracker(store, increments.SLOT).pending(later)  # fails: nothing is committed
-    out = increments.ChangeTracker(store, increments.SLOT).pending(later)
-    return out.select("pyramid", "tier", "shard_dur", F.unix_millis("period_start").alias("period_start_ms"))
+    third = increments.ChangeTracker(store, increments.SLOT)
+    out = Scratch(spark, "p5").write(third.pending(later).select("pyramid", "tier", "shard_dur", F.unix_millis("period_start").alias("period_start_ms")), "selected")
+    third.commit()
+    return out
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

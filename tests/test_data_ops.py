@@ -370,9 +370,28 @@ def test_failed_runs_repeat_and_successful_ones_do_not(spark, store):
     slow, fast = t(), t()
     slow.pending(second)
     fast.pending(second)
-    fast.commit(second)
+    fast.commit()
     with pytest.raises(CommitConflict):
-        slow.commit(first)
+        slow.commit()
+    with pytest.raises(RuntimeError):
+        t().commit()
+    with pytest.raises(CommitConflict):
+        t().adopt(first)
+
+
+def test_a_record_that_changes_during_the_work_is_selected_by_the_next_run(spark, store, tmp_path):
+    now = {"a": "1", "b": "1"}
+    t = increments.ChangeTracker(store, ["k"])
+    cur = lambda: spark.createDataFrame(list(now.items()), "k string, content string")
+
+    def work(df):
+        assert {r.k for r in df.collect()} == {"a", "b"}
+        now.update(a="2", b="mine", c="1")
+        return spark.createDataFrame([("b", "mine")], "k string, content string")
+
+    t.run(cur(), work)
+    # a changed and c came while the work went on; what the work itself made of b is no change
+    assert {r.k for r in t.pending(cur()).collect()} == {"a", "c"}
 
 
 def test_content_hash_tells_nulls_apart(spark):
@@ -408,13 +427,51 @@ def test_pending_shards(spark, store):
     shards += [("b", "q", "1d", d(0), d(1), "nomark", d(1), 1), ("a", "q", "1d", d(10), None, "nullend", d(2), 1), ("a", "q", "1d", d(1), d(2), "again", d(9), 1), ("a", "q", "1d", d(12), d(11), "reversed", None, 1)]
     marks = [("a", "q", "1d", d(4), d(6)), ("a", "q", "1d", None, d(8)), ("a", "q", "1d", d(9), d(3))]
     inv = [("a", d(2), d(2) + timedelta(hours=1), d(7)), ("a", d(3), None, d(7)), ("a", d(3), d(3), d(7)), ("b", d(3), d(4), d(7)), ("a", d(3), d(4), d(1))]
-    got = increments.pending_shards(spark.createDataFrame(shards, SH), spark.createDataFrame(marks, WM), spark.createDataFrame(inv, INV), store)
+    got = increments.pending_shards(spark.createDataFrame(shards, SH), spark.createDataFrame(marks, WM), spark.createDataFrame(inv, INV), increments.ChangeTracker(store, increments.SLOT))
     # k4, k5, reversed: beyond the mark; again: rewritten; k2: repair; b: no mark; a null end is not beyond
     assert {r.key for r in got.collect()} == {"k4", "k5", "reversed", "again", "k2", "nomark"}
-    empty = increments.pending_shards(spark.createDataFrame([], SH), spark.createDataFrame([], WM), spark.createDataFrame([], INV), store)
+    empty = increments.pending_shards(spark.createDataFrame([], SH), spark.createDataFrame([], WM), spark.createDataFrame([], INV), increments.ChangeTracker(store, increments.SLOT))
     assert empty.count() == 0
 
 
+def test_a_later_request_for_a_waiting_shard_is_a_change_and_the_run_s_own_writing_is_none(spark, store):
+    d = lambda n: T0 + timedelta(days=n)
+    shards = [("a", "q", "1d", d(k), d(k + 1), f"k{k}", d(k + 1), 1) for k in range(3)]
+    marks = [("a", "q", "1d", d(3), d(4))]
+    request = lambda r: ("a", d(1), d(2), d(r))
+
+    def run(rows, requests, work=lambda df: None):
+        t = increments.ChangeTracker(store, increments.SLOT)
+        todo = increments.pending_shards(spark.createDataFrame(rows, SH), spark.createDataFrame(marks, WM), spark.createDataFrame(requests, INV), t)
+        keys = {r.key for r in todo.collect()}
+        t.commit(work(todo))
+        return keys
+
+    assert run(shards, [request(5)]) == {"k1"}  # seen, but not rewritten by the run
+    assert run(shards, [request(5)]) == set()
+    assert run(shards, [request(5), request(6)]) == {"k1"}  # a second request
+    again = [s if s[5] != "k1" else (*s[:6], d(8), 2) for s in shards]
+    made = lambda df: increments.shard_contents(spark.createDataFrame(again, SH).where("key = 'k1'"), spark.createDataFrame([request(5), request(6), request(7)], INV))
+    assert run(shards, [request(5), request(6), request(7)], made) == {"k1"}
+    assert run(again, [request(5), request(6), request(7)]) == set()
+
+
+def test_intervals_meet_at_the_level_of_the_longer_one_only(spark):
+    unit = 3_600_000_000
+    rows = spark.range(2000).selectExpr("'p' AS g", "id", f"id * {unit} * 10 AS a", f"id * {unit} * 10 + {unit} AS b", "0L AS t")
+    reps = spark.range(500).selectExpr("'p' AS g", f"id * {unit} * 40 + {unit // 2} AS a", f"id * {unit} * 40 + {unit} AS b", "1L AS r")
+    n = 0
+    for left, right in increments._meetings(rows, reps, ["g"]):
+        n += left.join(right, (left.g == right.__r_g) & (left.lv == right.__r_lv) & (left.cell == right.__r_cell)).count()
+    assert n < 2000 and increments.overlapped_later(rows, reps, ["g"], ["id"]).count() == 500
+    # repairs that span a cell are one there
+    wide = spark.range(400).selectExpr("'p' AS g", f"-id * {unit} AS a", f"{unit} * 30000 AS b", "id AS r")
+    left, right = increments._meetings(rows, wide, ["g"])[1]
+    assert right.groupBy("__r_lv", "__r_cell").count().agg({"count": "max"}).first()[0] <= 401
+    got = increments.latest_overlap(rows, wide, ["g"], ["id"])
+    assert got.count() == 2000 and got.agg({"r": "min"}).first()[0] == 399
+
+
 def test_hot_keys_are_bounded(spark):
     from binstrata.session import hot_keys
 
