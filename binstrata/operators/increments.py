@@ -13,6 +13,9 @@ from binstrata.sources.store import VersionedStore
 #: Cell widths (microseconds) of the grid on which intervals meet: each 16 times the one before, 1 h to 7.5 y.
 LEVELS = tuple(3_600_000_000 * 16**k for k in range(5))
 
+#: Number of repairs up to which their cells are broadcast.
+BROADCAST_REPAIRS = 20_000
+
 
 def content_hash(columns: Sequence[str | Column]) -> Column:
     """sha2-256 of the columns' values as JSON; nulls keep their place, so that (null, 'a') and
@@ -146,14 +149,17 @@ def latest_overlap(rows: DataFrame, repairs: DataFrame, by: Sequence[str], key:
     Both sides meet on a grid of several widths, each pair at the level of its longer member: the longer
     side lies in the cells of its own level only, the shorter one in those of the levels above, by two
     joins with equality keys that split even a group that holds a third of all rows. Neither join matches
-    two intervals that are both short of the cell. Rows and repairs with nulls in a, b, t, r or reversed
+    two intervals that are both short of the cell. Up to ``BROADCAST_REPAIRS`` repairs are broadcast. Rows and repairs with nulls in a, b, t, r or reversed
     bounds never match.
     """
     left = rows.where((F.col("b") > F.col("a")) & F.col("t").isNotNull()).select(*by, *[F.col(c).alias(f"__k_{c}") for c in key], "a", "b", "t")
     right = repairs.where((F.col("b") > F.col("a")) & F.col("r").isNotNull())
     right = right.groupBy(*by, "a", "b").agg(F.max("r").alias("r"))  # of repairs of one range only the latest request matters
+    # counted: then they have ten cells each, but for intervals of more than 7.5 years
+    few = right.count() <= BROADCAST_REPAIRS
     out = None
     for l, r in _meetings(left, right, by):
+        r = F.broadcast(r) if few else r
         on = (F.col("a") < F.col("__b")) & (F.col("__a") < F.col("b")) & (F.col("t") < F.col("r"))
         for c in (*by, "lv", "cell"):
             on = on & (F.col(c) == F.col(f"__r_{c}"))
@@ -206,7 +212,11 @@ def pending_shards(shards: DataFrame, watermarks: DataFrame, repairs: DataFrame,
     tracker's first commit the state is read from the marks, and published as its first version."""
     if not tracker.store.latest():
         tracker.adopt(state_from_marks(shards, watermarks))
-    return tracker.pending(shard_contents(live_rows(shards), repairs))
+    path = tracker.store.write(live_rows(shards), "live")  # read three times
+    live = tracker.store.spark.read.schema(shards.schema).parquet(path)
+    todo = tracker.pending(shard_contents(live, repairs))
+    tracker.store.discard(path)
+    return todo
 
 
 __all__ = ["ChangeTracker", "changed", "content_hash", "latest_overlap", "live_rows", "marks", "null_safe", "overlapped_later", "pending_shards", "shard_contents", "state_from_marks"]

@@ -88,6 +88,10 @@ class VersionedStore:
         df.write.option("compression", "zstd").parquet(path)
         return path
 
+    def discard(self, path: str) -> None:
+        """Delete a folder that no version names."""
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
+
     def vacuum(self, keep: int = 2) -> None:
         """Delete pointers older than the newest ``keep`` versions (their data folders as well)."""
         for v in self.versions()[:-keep]:
