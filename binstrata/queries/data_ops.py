@@ -24,16 +24,24 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return live_rows(table(spark, d, "pyramid_shards")).withColumn("month", month_of("period_start"))
 
 
+def _compacted(spark: SparkSession, d: str) -> tuple[Compactor, DataFrame, DataFrame]:
+    """The registry compacted once: the compactor, the files and the records."""
+    files, records = Scratch(spark, "p1-files").write(_files(spark, d), "files"), table(spark, d, "longform")
+    c = Compactor(_store(spark, "p1"), BY_MONTH)
+    c.compact(files, records, current=lambda: _files(spark, d))
+    return c, files, records
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Partitions with too many small files: the ones that the compaction rewrites."""
-    return Compactor(None, BY_MONTH).find(_files(spark, d)).select(*BY_MONTH)
+    """Partitions with too many small files: those that a compaction of all records rewrote, by the
+    manifest of its committed version."""
+    c, _, _ = _compacted(spark, d)
+    return c.manifest().where(~F.col("conflict")).select(*BY_MONTH)
 
 
 def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     """All records after a compaction, each once, with their partition and whether it was rewritten."""
-    files, records = Scratch(spark, "p1-files").write(_files(spark, d), "files"), table(spark, d, "longform")
-    c = Compactor(_store(spark, "p1"), BY_MONTH)
-    c.compact(files, records, current=lambda: _files(spark, d))
+    c, files, records = _compacted(spark, d)
     return c.read(files, records).select("rec_id", "key", "dt", *BY_MONTH, "rewritten")
 
 

@@ -13,6 +13,7 @@ leaves files no pointer names, which readers never see.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,21 +63,46 @@ class VersionedStore:
         path = self._path(f"_versions/{version:08d}.json")
         if self.latest() != base:
             raise CommitConflict(f"version {base} is no longer the newest")
+        if not self._create(path, meta):
+            raise CommitConflict(f"version {version} exists already")
+        return version
+
+    def _create(self, path, document: dict) -> bool:
+        """Write a JSON document, unless the file exists: then False."""
         staged = self._path(f"_staged/{uuid.uuid4().hex}.json")
         out = self._fs.create(staged, False)
-        out.write(bytearray(json.dumps(meta).encode()))
+        out.write(bytearray(json.dumps(document).encode()))
         out.close()
-        self._fs.mkdirs(self._path("_versions"))
+        self._fs.mkdirs(path.getParent())
         rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(rename, 1)
         how[0] = rename.NONE  # never over an existing file
         try:
             context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
             context.rename(self._fs.makeQualified(staged), self._fs.makeQualified(path), how)
-        except Exception as e:
+        except Exception:
             self._fs.delete(staged, False)
-            raise CommitConflict(f"version {version} exists already") from e
-        return version
+            return False
+        return True
+
+    def claim(self, base: int, lease_s: int):
+        """Keep other writers from starting on version ``base + 1``; raise :class:`CommitConflict` if one is
+        at work. A claim older than ``lease_s`` seconds is that of a dead writer and gives way. Returns what
+        :meth:`release` takes."""
+        path = self._path(f"_claims/{base + 1:08d}.json")
+        if self.latest() != base:
+            raise CommitConflict(f"version {base} is no longer the newest")
+        for _ in range(2):
+            if self._create(path, {"since": time.time()}):
+                return path
+            if self._fs.exists(path) and self._fs.getFileStatus(path).getModificationTime() / 1000 + lease_s > time.time():
+                break
+            self._fs.delete(path, False)
+        raise CommitConflict(f"another writer is at work on version {base + 1}")
+
+    def release(self, claim) -> None:
+        """Give up a claim."""
+        self._fs.delete(claim, False)
 
     def fresh(self, name: str) -> str:
         """A data path that nobody has used."""
