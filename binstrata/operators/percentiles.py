@@ -4,8 +4,9 @@ Values are pre-aggregated to ``(group, value, weight)`` and laid out once, as so
 length, spread over the partitions by group and salt. In each round every piece proposes, for every
 group and percentile at once, the weighted median of its values that are still possible, and the other
 quantiles that part them evenly; the weighted median of the pieces' proposals is the pivot. The pieces
-count the weights below, at and above the pivots, the ranges that can't hold the percentile are ruled
-out, and the next proposals are made in the same pass, for each range that may remain. With one pivot
+count the weights below, at and above the pivots (reports of very many pieces are combined in steps: counts
+add up, and of their proposals the weighted median goes on), the ranges that can't hold the percentile are
+ruled out, and the next proposals are made in the same pass, for each range that may remain. With one pivot
 this is the textbook algorithm; with seven a round does the work of three. All groups take part until
 they are found; only numbers per group travel.
 """
@@ -130,6 +131,18 @@ def narrow(state: np.ndarray, reports: np.ndarray, counts: np.ndarray, q: float,
     return new
 
 
+def merge_reports(said: np.ndarray, m: int) -> np.ndarray:
+    """One report for those of several pieces: sums of their weights, weighted medians of their proposals."""
+    out = np.full(said.shape[1], np.nan)
+    out[: 2 * m + 1] = said[:, : 2 * m + 1].sum(axis=0)
+    for j in range(m + 1):
+        at = 2 * m + 1 + j * m
+        full = said[:, j] > 0
+        if full.any():
+            out[at : at + m] = [_weighted_median(said[full, at + i], said[full, j]) for i in range(m)]
+    return out
+
+
 def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
@@ -147,22 +160,25 @@ def percentiles(
     pivots: int = 7,
     piece: int = 4096,
     max_rounds: int = 100,
+    fan: int = 256,
 ) -> DataFrame:
     """``(*by, p_0, p_1, ...)``: for each quantile q the least value at which the weight of all values up to
     it reaches q of the group's total.
 
     ``weights``: ``(*by, value, weight)`` as from :func:`partials`. Exact with ``rank_error`` 0; else the
     weight between the result and the exact one is at most ``rank_error`` of the total. No group is ever
-    brought together: a piece holds about ``piece`` values. Empty input gives no rows.
+    brought together: a piece holds about ``piece`` values, and at most ``fan`` reports meet in a row, by as many
+    steps as the largest group needs. Empty input gives no rows.
     """
     by, n_q, m = list(by), len(quantiles), pivots
     width = PIVOT + m
     n = parallelism(scratch.spark)
-    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
+    weights = weights.select(*by, F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
     # groups of more than one piece; the others need no entry
     big = weights.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece)
     big = scratch.write(big.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.ceil(F.col("n") / piece).cast("int").alias("__salts")), "big")
-    if big.count() <= 20_000:  # at most 20,000 rows of a name and a number: bounded, so it may be broadcast
+    n_big, salts = big.agg(F.count(F.lit(1)), F.max("__salts")).first()
+    if n_big <= 20_000:  # at most 20,000 rows of a name and a number: bounded, so it may be broadcast
         big = F.broadcast(big)
     on = F.lit(True)
     for c in by:
@@ -181,7 +197,7 @@ def percentiles(
     numbers = T.ArrayType(T.DoubleType())
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    said_schema = T.StructType([*group, T.StructField("said", numbers)])
+    said_schema = T.StructType([*group, T.StructField("salt", T.IntegerType()), T.StructField("said", numbers)])
     next_schema = T.StructType([*group, T.StructField("salts", T.IntegerType()), T.StructField("st", numbers)])
     said_arrow, next_arrow = to_arrow_schema(said_schema), to_arrow_schema(next_schema)
     report = 2 * m + 1 + (m + 1) * m
@@ -190,12 +206,22 @@ def percentiles(
         for b in batches:
             if not b.num_rows:
                 continue
-            lists, st = b.column(len(by)), _flat(b.column(len(by) + 1), width * n_q)
+            lists, st = b.column(len(by) + 1), _flat(b.column(len(by) + 2), width * n_q)
             v, w = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             offsets = lists.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
             said = np.concatenate([survey(v, w, offsets, st[:, k * width : (k + 1) * width], m) for k in range(n_q)], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], _lists(said)], schema=said_arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 1], _lists(said)], schema=said_arrow)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            all_said = b.column(len(by) + 1)
+            at = all_said.offsets.to_numpy().astype(np.int64)
+            at, said = at - at[0], _flat(all_said.flatten(), report * n_q)
+            one = [np.concatenate([merge_reports(said[i:j, k * report : (k + 1) * report], m) for k in range(n_q)]) for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 1], _lists(np.stack(one))], schema=said_arrow)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,8 +245,11 @@ def percentiles(
             pieces = pieces.join(sides.hint("shuffle_hash"), _matches(pieces, by)).select(*by, "salt", F.filter("pairs", inside).alias("pairs"))
             held.append(pieces := pieces.where(F.size("pairs") > 0).persist(StorageLevel.MEMORY_AND_DISK))
         active = pieces.join(sides.hint("shuffle_hash"), _matches(pieces, by))
-        said = active.select(*by, "pairs", "st").mapInArrow(propose, said_schema)
-        # one report for each piece, so the list is as long as the group has pieces
+        said = active.select(*by, "salt", "pairs", "st").mapInArrow(propose, said_schema)
+        reports = salts or 1
+        while reports > fan:
+            said = said.groupBy(*by, F.floor(F.col("salt") / fan).cast("int").alias("salt")).agg(F.collect_list("said").alias("said")).mapInArrow(combine, said_schema)
+            reports = -(-reports // fan)
         gathered = said.groupBy(*by).agg(F.collect_list("said").alias("said")).withColumnsRenamed({c: f"__c_{c}" for c in by})
         on = F.lit(True)
         for c in by:

@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from binstrata.session import Scratch
 
-def periods_and_gaps(df: DataFrame, by: tuple[str, ...], start: str, end: str, block_rows: int = 50_000) -> DataFrame:
+
+def periods_and_gaps(df: DataFrame, by: tuple[str, ...], start: str, end: str, block_rows: int = 1_000_000, scratch: Scratch | None = None) -> DataFrame:
     """``(*by, kind, lo, hi)``: each continuous ``period`` and each ``gap`` between two neighbours.
 
     ``start`` and ``end`` are whole numbers (such as epoch milliseconds), half-open. Rows with a null
     bound or ``end <= start`` are ignored. Touching intervals are continuous. Null groups are groups.
 
     Boundaries become plus and minus events, summed by instant before the shuffle, and the running
-    sum of active intervals is taken in two steps, so that no group has to fit a task: a group's time
-    span is cut into blocks of about ``block_rows`` events; the sums of its blocks are accumulated,
-    then each block is swept on its own from the count it starts with. Only block summaries are
-    ordered per group.
+    sum of active intervals is taken in two steps, so that no group has to fit a task: the events are
+    parted by range over group and instant into blocks of about ``block_rows``, by their quantiles, so that
+    neither a large group nor one with most of its events at one time makes a large block; the sums of a
+    group's blocks are accumulated, then each block is swept on its own from the count it starts with. Only
+    block summaries are ordered per group.
     """
-    by = list(by)
+    by, scratch, seen = list(by), scratch or Scratch(df.sparkSession, "sweep"), Observation()
     valid = df.where(F.col(end) > F.col(start)).select(*by, F.col(start).cast("long").alias("__a"), F.col(end).cast("long").alias("__b"))
     events = (
         valid.select(*by, F.explode(F.array(F.struct(F.col("__a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("__b").alias("t"), F.lit(-1).alias("d")))).alias("e"))
         .groupBy(*by, F.col("e.t").alias("t"))
         .agg(F.sum("e.d").alias("d"))
     )
-    stats = events.groupBy(*[F.col(c).alias(f"__g_{c}") for c in by]).agg(F.min("t").alias("__t0"), F.max("t").alias("__t1"), F.count(F.lit(1)).alias("__n"))
-    on = F.lit(True)
-    for c in by:
-        on = on & events[c].eqNullSafe(F.col(f"__g_{c}"))
-    # in doubles, which keep the order and can't overflow; which block an instant falls into is all that matters
-    t, t0, t1 = (F.col(c).cast("double") for c in ("t", "__t0", "__t1"))
-    width = (t1 - t0 + 1.0) / F.ceil(F.col("__n") / F.lit(float(block_rows)))
-    cut = events.join(stats, on).select(*by, "t", "d", F.floor((t - t0) / width).cast("long").alias("block"))
+    events = scratch.write(events.observe(seen, F.count(F.lit(1)).alias("n")), "events")
+    blocks = -(-seen.get["n"] // block_rows)
+    if blocks > 1:  # written, so that every reader sees the same blocks
+        cut = scratch.write(events.repartitionByRange(blocks, *by, "t").withColumn("block", F.spark_partition_id()), "blocks")
+    else:
+        cut = events.withColumn("block", F.lit(0))
 
     group = Window.partitionBy(*by).orderBy("block")
     before = cut.groupBy(*by, "block").agg(F.sum("d").alias("s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from binstrata.operators import history, increments, snapshot_diff
 from binstrata.operators.compaction import Compactor, month_of
-from binstrata.operators.percentiles import partials, percentiles
+from binstrata.operators.percentiles import merge_partials, partials, percentiles
 from binstrata.operators.registry import live_rows
 from binstrata.operators.sweep import periods_and_gaps
 from binstrata.session import Scratch, table
@@ -58,6 +58,12 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*by, F.col("p_0").cast("long").alias("p50"), F.col("p_1").cast("long").alias("p90"), F.col("p_2").cast("long").alias("p95"))
 
 
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """Each delivered record once, with its month; those that count for percentiles."""
+    rows = table(spark, d, "longform").select("rec_id", "station_id", "metric", "state", "count", F.date_format(F.timestamp_millis("dt"), "yyyy-MM").alias("month"))
+    return rows.where(F.col("station_id").isNotNull() & F.col("state").isNotNull() & (F.col("count") > 0) & ~F.isnan("count")).distinct()
+
+
 def _weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights by station, metric and state, each delivered record counted once."""
     rows = table(spark, d, "longform").select("rec_id", "station_id", "metric", "state", "count")
@@ -66,6 +72,18 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
     return partials(once, ("station_id", "metric"), "state", "count")
 
 
+def p3_from_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles of :func:`p3_percentiles` from partial results of each month of records, written one
+    folder each, read again and combined."""
+    by, scratch = ("station_id", "metric"), Scratch(spark, "p3")
+    parts = partials(_once(spark, d), (*by, "month"), "state", "count")
+    path = f"{scratch.root}/parts"
+    parts.write.partitionBy("month").parquet(path)
+    read = spark.read.schema(parts.schema).parquet(path)
+    out = percentiles(merge_partials(read, by), by, (0.5, 0.9, 0.95), scratch)
+    return out.select(*by, F.col("p_0").cast("long").alias("p50"), F.col("p_1").cast("long").alias("p90"), F.col("p_2").cast("long").alias("p95"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Groups whose 95th percentile is at least ten times their median."""
     by = ("station_id", "metric")
@@ -118,7 +136,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_diff.archive_diffs(table(spark, d, "intervals"), table(spark, d, "pyramid_multiscans"), Scratch(spark, "p6"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_compacted, p2_found, p3_found, p3_percentiles, p4_found, p5_found, p5_next_run, p6_found)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_compacted, p2_found, p3_found, p3_percentiles, p3_from_parts, p4_found, p5_found, p5_next_run, p6_found)}
 
 _LIVE = "live AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur, period_start ORDER BY written_at DESC NULLS LAST) rn FROM pyramid_shards) WHERE rn = 1)"
 _MARKS = "marks AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur ORDER BY updated_at DESC NULLS LAST, latest_period_end DESC) rn FROM pyramid_watermarks WHERE latest_period_end IS NOT NULL) WHERE rn = 1)"
@@ -139,6 +157,7 @@ n AS (SELECT *, sum(CASE WHEN ps IS NULL OR scan <> ps + 1 OR b <> pb OR o <> po
 SELECT dataset, dt, path, min(label) AS scan_first, max(label) AS scan_last FROM n GROUP BY dataset, dt, path, run""",
     "p3_found": f"WITH {_WEIGHTS}, p AS (SELECT station_id, metric, min(state) FILTER (up_to >= total * 0.5) AS p50, min(state) FILTER (up_to >= total * 0.95) AS p95 FROM c GROUP BY ALL) SELECT station_id, metric FROM p WHERE p95 >= 10 * p50",
     "p3_percentiles": f"WITH {_WEIGHTS} SELECT station_id, metric, CAST(min(state) FILTER (up_to >= total * 0.5) AS BIGINT) AS p50, CAST(min(state) FILTER (up_to >= total * 0.9) AS BIGINT) AS p90, CAST(min(state) FILTER (up_to >= total * 0.95) AS BIGINT) AS p95 FROM c GROUP BY ALL",
+    "p3_from_parts": f"WITH {_WEIGHTS} SELECT station_id, metric, CAST(min(state) FILTER (up_to >= total * 0.5) AS BIGINT) AS p50, CAST(min(state) FILTER (up_to >= total * 0.9) AS BIGINT) AS p90, CAST(min(state) FILTER (up_to >= total * 0.95) AS BIGINT) AS p95 FROM c GROUP BY ALL",
     "p4_found": f"""WITH {_LIVE},
 p AS (SELECT 'shards' AS origin, pyramid, tier, epoch_ms(period_start) AS a, epoch_ms(period_end) AS b FROM live UNION ALL SELECT 'invalidation', pyramid, '', epoch_ms(start), epoch_ms("end") FROM invalidation),
 v AS (SELECT *, max(b) OVER (PARTITION BY origin, pyramid, tier ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p WHERE b > a),

@@ -38,11 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A private folder below :func:`shared_dir` for tables that cut the lineage."""
+    """A private folder below :func:`shared_dir` for tables that cut the lineage. It is deleted when the
+    driver ends, if not dropped before."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it again with the same schema."""
@@ -80,8 +85,3 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 1000) -
     rows = df.where(F.col(key).isNotNull())
     most = max(least, rows.count() * share)
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= most).select(key)
-
-
-def env_path(name: str, default: str) -> str:
-    """A path parameter that the environment may override."""
-    return os.environ.get(name, default)

@@ -364,8 +364,8 @@ def brute_percentile(pairs, q):
             return v
 
 
-@pytest.mark.parametrize("pivots,piece", [(7, 4096), (1, 50), (3, 16)])
-def test_percentiles_are_exact(spark, scratch, pivots, piece):
+@pytest.mark.parametrize("pivots,piece,fan", [(7, 4096, 256), (1, 50, 256), (3, 16, 3)])
+def test_percentiles_are_exact(spark, scratch, pivots, piece, fan):
     rng = random.Random(7)
     rows = [("hot", "m", float(rng.randrange(5000)), float(rng.randrange(1, 9))) for _ in range(3000)]
     rows += [(f"g{rng.randrange(5)}", "m", float(rng.choice([1, 1, 1, 2, 50])), 1.0) for _ in range(300)]
@@ -373,7 +373,7 @@ def test_percentiles_are_exact(spark, scratch, pivots, piece):
     dirty = [("one", "m", None, 9.0), ("one", "m", float("nan"), 9.0), ("one", "m", 9.0, 0.0), ("one", "m", 9.0, -4.0), ("one", "m", 9.0, None), ("one", "m", 9.0, float("nan")), ("none", "m", None, 1.0)]
     df = spark.createDataFrame(rows + dirty, "s string, metric string, v double, w double")
     qs = (0.0, 0.25, 0.5, 0.95, 1.0)
-    got = percentiles.percentiles(percentiles.partials(df, ("s", "metric"), "v", "w"), ("s", "metric"), qs, scratch, pivots=pivots, piece=piece).collect()
+    got = percentiles.percentiles(percentiles.partials(df, ("s", "metric"), "v", "w"), ("s", "metric"), qs, scratch, pivots=pivots, piece=piece, fan=fan).collect()
     groups = {}
     for s, _, v, w in rows:
         groups.setdefault(s, []).append((v, w))
@@ -392,6 +392,16 @@ def test_percentiles_within_the_rank_error(spark, scratch):
         assert abs(sum(v <= x for v in values) / len(values) - q) <= 0.02 + 1e-3
 
 
+def test_reports_of_very_many_pieces_meet_in_steps(spark, scratch):
+    df = spark.range(100_000).selectExpr("'g' AS s", "double(id * 7919 % 100000) AS value", "1.0 AS weight")
+    r = percentiles.percentiles(df, ("s",), (0.5, 0.95), scratch, piece=2, fan=64).first()
+    assert (r.p_0, r.p_1) == (49_999.0, 94_999.0)
+    said = np.random.default_rng(1).random((500, 2 * 3 + 1 + 4 * 3))
+    said[:, 1] = 0.0  # no piece has anything in this range
+    one = percentiles.merge_reports(said, 3)
+    assert np.allclose(one[:7], said[:, :7].sum(axis=0)) and np.isnan(one[10:13]).all() and not np.isnan(one[13:]).any()
+
+
 def test_partial_states_combine(spark, scratch):
     rng = random.Random(9)
     rows = [(f"g{rng.randrange(3)}", k % 4, float(rng.randrange(40)), 1.0) for k in range(400)]
@@ -439,6 +449,14 @@ def test_periods_and_gaps(spark, block):
     assert sweep.periods_and_gaps(df.where("false"), ("g",), "s", "e").count() == 0
 
 
+def test_blocks_of_a_sweep_are_even_whatever_the_times(spark, scratch):
+    rows = spark.range(20_000).selectExpr("'g' AS g", "id * 10 AS s", "id * 10 + 5 AS e").union(spark.createDataFrame([("g", -(10**15), -(10**15) + 1), ("g", 10**15, 10**15 + 1)], "g string, s bigint, e bigint"))
+    got = sweep.periods_and_gaps(rows, ("g",), "s", "e", block_rows=1000, scratch=scratch)
+    assert got.where("kind = 'period'").count() == 20_002 and got.where("kind = 'gap'").count() == 20_001
+    sizes = [r["count"] for r in spark.read.parquet(f"{scratch.root}/blocks").groupBy("block").count().collect()]
+    assert len(sizes) > 30 and max(sizes) <= 3000
+
+
 # -- p5 ---------------------------------------------------------------------------------------------
 
 
