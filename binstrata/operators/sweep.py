@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from binstrata.session import Scratch
+from binstrata.session import Scratch, observed
 
 
 def periods_and_gaps(df: DataFrame, by: tuple[str, ...], start: str, end: str, block_rows: int = 1_000_000, scratch: Scratch | None = None) -> DataFrame:
@@ -29,7 +29,7 @@ def periods_and_gaps(df: DataFrame, by: tuple[str, ...], start: str, end: str, b
         .agg(F.sum("e.d").alias("d"))
     )
     events = scratch.write(events.observe(seen, F.count(F.lit(1)).alias("n")), "events")
-    blocks = -(-seen.get["n"] // block_rows)
+    blocks = -(-observed(seen, "n") // block_rows)
     if blocks > 1:  # written, so that every reader sees the same blocks
         cut = scratch.write(events.repartitionByRange(blocks, *by, "t").withColumn("block", F.spark_partition_id()), "blocks")
     else:

@@ -46,8 +46,9 @@ def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each version of each object, with the first and last scan in which it held."""
-    out = history.archive_history(table(spark, d, "intervals"), table(spark, d, "pyramid_multiscans"), Scratch(spark, "p2"))
+    """Each version of each object, with the first and last scan in which it held: a history of all scans
+    but the last of each dataset, to which these are appended."""
+    out = history.archive_history(table(spark, d, "intervals"), table(spark, d, "pyramid_multiscans"), _store(spark, "p2"), Scratch(spark, "p2"))
     return out.select("dataset", "dt", "path", "scan_first", "scan_last")
 
 

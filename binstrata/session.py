@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size (bytes) of a side that may be broadcast by hint.
@@ -61,6 +62,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def observed(seen: Observation, name: str, default=0):
+    """A metric of a plan that has run; ``default`` where it reported nothing, as its rows were known to be
+    none before it ran."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return default
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -108,10 +108,11 @@ class VersionedStore:
         """A data path that nobody has used."""
         return f"{self.root}/data/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> str:
-        """Write ``df`` below a fresh path, unseen until a commit names it; returns the path."""
-        path = self.fresh(name)
-        df.write.option("compression", "zstd").parquet(path)
+    def write(self, df: DataFrame, name: str, *by: str) -> str:
+        """Write ``df``, in partitions ``by``, below a fresh path, unseen until a commit names it; returns the
+        path."""
+        path, writer = self.fresh(name), df.write.option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
         return path
 
     def discard(self, path: str) -> None:

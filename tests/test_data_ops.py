@@ -278,27 +278,56 @@ def brute_history(truth):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_history_by_merkle_trees(spark, scratch, seed):
+def test_history_by_merkle_trees(spark, scratch, store, seed):
     ms, iv, truth = make_archives(seed)
-    got = history.archive_history(spark.createDataFrame(iv, IV), spark.createDataFrame(ms, MS), scratch).collect()
+    got = history.archive_history(spark.createDataFrame(iv, IV), spark.createDataFrame(ms, MS), store, scratch).collect()
     rows = [tuple(r) for r in got]
     assert len(rows) == len(set(rows)) and set(rows) == brute_history(truth)
 
 
-def test_history_prunes_unchanged_leaves(spark, scratch):
-    # nothing changes after the first scan but one object: nearly all rows stay out of the comparison
-    rows = [("d", 0, f"p{k}", 1, 1, j, j) for k in range(400) for j in range(1, 6)]
-    rows = [(d, t, p, 2 if p == "p7" and lo > 3 else b, o, lo, hi) for d, t, p, b, o, lo, hi in rows]
-    df = spark.createDataFrame(rows, "dataset string, dt bigint, path string, b bigint, o bigint, lo bigint, hi bigint")
-    leaves = history.changed_leaves(history.tree_differences(df.where("hi < 6"), 2)).where("scan between 2 and 5").collect()
-    assert [r.scan for r in leaves] == [4]
-    last = spark.createDataFrame([("d", 5)], "dataset string, newest bigint")
-    got = {tuple(r) for r in history.versions(df, last, 2, scratch).collect()}
-    assert got == {("d", 0, f"p{k}", 1, 1, 1, 5) for k in range(400) if k != 7} | {("d", 0, "p7", 1, 1, 1, 3), ("d", 0, "p7", 2, 1, 4, 5)}
-
-
-def test_history_of_nothing(spark, scratch):
-    assert history.archive_history(spark.createDataFrame([], IV), spark.createDataFrame([], MS), scratch).count() == 0
+def test_history_grows_by_reading_changed_leaves_only(spark, scratch, store):
+    # 2,000 objects; from scan to scan nothing changes but few of them
+    rng = random.Random(3)
+    state, scans = {k: 1 for k in range(2000)}, []
+    for j in range(1, 7):
+        if j > 1:
+            for k in rng.sample(range(2200), 6):
+                state[k] = j
+            state.pop(rng.choice(sorted(state)))
+        scans.append(dict(state))
+    frame = lambda js: spark.createDataFrame([("d", 0, f"p{k}", v, 1, j, j) for j in js for k, v in scans[j - 1].items()], "dataset string, dt bigint, path string, b bigint, o bigint, lo bigint, hi bigint")
+    span = lambda a, b: spark.createDataFrame([("d", a, b)], "dataset string, from bigint, to bigint")
+    h = history.History(store, levels=2)
+    h.append(frame([1, 2, 3]), span(1, 3), scratch)
+    n = h.stored_tree().where("level = 2").count()
+    assert n > 200
+    for j in (4, 5, 6):
+        history.History(store).append(frame([j]), span(j, j), scratch)
+        meta = store.meta()
+        assert 1 <= meta["changed_leaves"] <= 8 and meta["log_rows_read"] <= 8 * 2000 / 256 * 4
+    # the same as one run over all, tree included
+    other = history.History(VersionedStore(spark, f"{store.root}-whole"), levels=2)
+    other.append(frame(range(1, 7)), span(1, 6), scratch)
+    h = history.History(store)
+    for a, b in ((h.versions(), other.versions()), (h.stored_tree(), other.stored_tree())):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    truth = {"d": ([str(j) for j in range(1, 7)], [{(0, f"p{k}"): (v, 1) for k, v in s.items()} for s in scans])}
+    assert {(*r[:5], str(r.first), str(r.last)) for r in h.versions().collect()} == brute_history(truth)
+
+
+def test_a_dataset_may_vanish_and_come_back(spark, scratch, store):
+    frame = lambda rows: spark.createDataFrame(rows, "dataset string, dt bigint, path string, b bigint, o bigint, lo bigint, hi bigint")
+    span = lambda *x: spark.createDataFrame(list(x), "dataset string, from bigint, to bigint")
+    h = history.History(store, levels=1)
+    h.append(frame([("d", 0, "x", 1, 1, 1, 1), (None, None, None, 1, 1, 1, 1), ("e", 0, "x", 1, 1, 1, 1)]), span(("d", 1, 1), (None, 1, 1), ("e", 1, 1)), scratch)
+    h.append(frame([]), span(("d", 2, 2), (None, 2, 2)), scratch)  # both empty; e has no snapshot
+    h.append(frame([("d", 0, "x", 1, 1, 3, 3), (None, None, None, 1, 1, 3, 3), ("e", 0, "x", 1, 1, 2, 2)]), span(("d", 3, 3), (None, 3, 3), ("e", 2, 2)), scratch)
+    got = {(r.dataset, r.path, r.first, r.last) for r in h.versions().collect()}
+    assert got == {("d", "x", 1, 1), ("d", "x", 3, 3), (None, None, 1, 1), (None, None, 3, 3), ("e", "x", 1, 2)}
+
+
+def test_history_of_nothing(spark, scratch, store):
+    assert history.archive_history(spark.createDataFrame([], IV), spark.createDataFrame([], MS), store, scratch).count() == 0
 
 
 def brute_diffs(ms, truth):
