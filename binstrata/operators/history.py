@@ -105,11 +105,7 @@ class History:
 
     def log(self) -> DataFrame:
         """What opened (``last`` null) and what closed, in ``bucket``s of leaves."""
-        parts = [self._table([p], self.LOG) for p in self.store.meta().get("log", [])] or [self._table([], self.LOG)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.store.read(self.store.meta().get("log", []), self.LOG)
 
     def _bucket(self) -> Column:
         return F.floor(F.col("leaf") / FANOUT ** (self.levels - 1)).cast("int")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binstrata.sources.store import VersionedStore
+
 OPEN = 1 << 62
 
 
@@ -72,14 +74,21 @@ def islands(long: DataFrame, keys: Sequence[str], states: Sequence[str], carried
 
 def densify(long: DataFrame, keys: Sequence[str], states: Sequence[str], n_scans: int, additive: Sequence[str] | None = None) -> DataFrame:
     """``(*keys, *states, __scan)``: every key in every scan; where it is absent additive states are 0
-    and others null. The grid has keys times scans rows by definition; each key is spread by a
-    sequence, not by a join."""
+    and others null. The grid has keys times scans rows by definition; each key is spread in place, not by
+    a join. A key twice in one scan raises an error; scans beyond ``n_scans`` don't count."""
     additive = states if additive is None else additive
-    held = long.groupBy(*keys).agg(F.collect_list(F.struct("__scan", *states)).alias("__rows"))
-    at = F.map_from_entries(F.transform("__rows", lambda r: F.struct(r["__scan"].alias("key"), F.struct(*[r[c].alias(c) for c in states]).alias("value"))))
-    grid = held.select(*keys, at.alias("__at"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_scans - 1).cast("long"))).alias("__scan"))
-    value = F.try_element_at(F.col("__at"), F.col("__scan"))
-    return grid.select(*keys, *[(F.coalesce(value[c], F.lit(0)) if c in additive else value[c]).alias(c) for c in states], "__scan")
+    # a key's scans in order, each followed by the empty ones up to the next: no search
+    rows = long.where(F.col("__scan").between(0, n_scans - 1))
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__scan", *states))).alias("__rows"))
+    at = F.transform("__rows", lambda r: r["__scan"].cast("int"))
+    twice = F.size(F.array_distinct(at)) < F.size(at)
+    held = held.where(F.when(twice, F.raise_error(F.lit("a key occurs twice in one scan")).cast("boolean")).otherwise(F.lit(True)))
+    ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(n_scans)))
+    empty = lambda: F.struct(F.lit(None).cast("long").alias("__scan"), *[F.lit(None).cast(dict(long.dtypes)[c]).alias(c) for c in states])
+    parts = F.zip_with("__rows", ends, lambda r, e: F.concat(F.array(r), F.array_repeat(empty(), e - r["__scan"].cast("int") - 1)))
+    grid = held.select(*keys, F.posexplode(F.concat(F.array_repeat(empty(), at[0]), F.flatten(parts))).alias("__at", "__r"))
+    value = F.col("__r")
+    return grid.select(*keys, *[(F.coalesce(value[c], F.lit(0)) if c in additive else value[c]).alias(c) for c in states], F.col("__at").cast("long").alias("__scan"))
 
 
 def extract(consolidated: DataFrame, states: Sequence[str], scan: int) -> DataFrame:
@@ -211,7 +220,11 @@ def append_scan(prev: DataFrame, new: DataFrame, keys: Sequence[str], states: Se
     ``opened``, ``closed`` or null."""
     cols = [*keys, *states, *carried_last, "vf", "vt"]
     closed = prev.where(F.col("vt") != open_end).select(*cols, F.lit(None).cast("string").alias("change"))
-    live = prev.where(F.col("vt") == open_end).select(*cols)
+    return closed.unionByName(_appended(prev.where(F.col("vt") == open_end).select(*cols), new, keys, states, stamp, carried_last, open_end))
+
+
+def _appended(live: DataFrame, new: DataFrame, keys: Sequence[str], states: Sequence[str], stamp: int, carried_last: Sequence[str], open_end: int) -> DataFrame:
+    """What becomes of the open runs with one more scan: one join."""
     rising = F.when(F.col("vf") >= stamp, F.raise_error(F.lit("stamps must increase")).cast("boolean")).otherwise(F.lit(True))
     live = live.where(rising)
     scan = _prefixed(new.select(*keys, *states, *carried_last), "__n_").withColumn("__in", F.lit(True))
@@ -223,7 +236,42 @@ def append_scan(prev: DataFrame, new: DataFrame, keys: Sequence[str], states: Se
     old = F.struct(*[F.col(k).alias(k) for k in keys], *[F.col(c).alias(c) for c in states], *[F.when(goes_on, F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c) for c in carried_last], F.col("vf").alias("vf"), F.when(goes_on, F.lit(open_end)).otherwise(F.lit(stamp)).alias("vt"), F.when(~goes_on, "closed").alias("change"))
     fresh = F.struct(*[F.col(f"__n_{c}").alias(c) for c in [*keys, *states, *carried_last]], F.lit(stamp).cast("long").alias("vf"), F.lit(open_end).cast("long").alias("vt"), F.lit("opened").alias("change"))
     made = F.array_compact(F.array(F.when(F.col("__was").isNotNull(), old), F.when(F.col("__in").isNotNull() & ~goes_on, fresh)))
-    return closed.unionByName(both.select(F.explode(made).alias("r")).select("r.*"))
+    return both.select(F.explode(made).alias("r")).select("r.*")
+
+
+class IntervalTable:
+    """Stamped intervals in a versioned store. An append reads and replaces the open runs only, and adds a
+    partition of what it closed; closed runs are never read or written again. It fits ``foreachBatch``: a
+    batch that comes again with the stamp of the newest version changes nothing."""
+
+    def __init__(self, store: VersionedStore, keys: Sequence[str], states: Sequence[str], carried_last: Sequence[str] = (), open_end: int = OPEN):
+        self.store, self.keys, self.states, self.carried_last, self.open_end = store, list(keys), list(states), list(carried_last), open_end
+
+    def _read(self, meta: dict, paths: list[str], is_open: bool) -> DataFrame:
+        return self.store.read(paths, meta["schema"]).where(F.col("__open") == is_open).drop("__open")
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """All runs as of a version, the newest by default. There must be one."""
+        meta = self.store.meta(version)
+        return self._read(meta, meta["closed"], False).unionByName(self._read(meta, [meta["open"]], True))
+
+    def append(self, new: DataFrame, stamp: int) -> int:
+        """Append one scan; returns the version that holds it. The same as :func:`append_scan`."""
+        base, meta = self.store.latest(), self.store.meta()
+        if base and meta["stamp"] == stamp:
+            return base
+        if base and meta["stamp"] > stamp:
+            raise ValueError("stamps must increase")
+        cols = [*self.keys, *self.states, *self.carried_last]
+        if base:
+            live = self._read(meta, [meta["open"]], True)
+        else:
+            live = new.select(*cols, F.lit(stamp).cast("long").alias("vf"), F.lit(self.open_end).cast("long").alias("vt")).where(F.lit(False))
+        made = _appended(live, new, self.keys, self.states, stamp, self.carried_last, self.open_end).drop("change")
+        schema = ", ".join([*(f"`{c}` {t}" for c, t in made.dtypes), "`__open` boolean"])
+        path = self.store.write(made.withColumn("__open", F.col("vt") == self.open_end), "runs", "__open")
+        closed = [*meta.get("closed", []), path]
+        return self.store.commit(base, {"schema": schema, "stamp": stamp, "open": path, "closed": closed, "paths": closed})
 
 
 def delta(intervals: DataFrame, stamp: int) -> DataFrame:

@@ -106,7 +106,7 @@ class VersionedStore:
 
     def fresh(self, name: str) -> str:
         """A data path that nobody has used."""
-        return f"{self.root}/data/{name}-{uuid.uuid4().hex}"
+        return f"{self.root}/data/{name}/gen={uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, *by: str) -> str:
         """Write ``df``, in partitions ``by``, below a fresh path, unseen until a commit names it; returns the
@@ -115,6 +115,13 @@ class VersionedStore:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return path
 
+    def read(self, paths: list[str], schema: str) -> DataFrame:
+        """What several calls of :meth:`write` with one name and the same partitions have written."""
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(f"{schema}, `gen` string").option("basePath", paths[0].rsplit("/", 1)[0])
+        return reader.parquet(*paths).drop("gen")
+
     def discard(self, path: str) -> None:
         """Delete a folder that no version names."""
         self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)

@@ -13,6 +13,7 @@ from binstrata.operators.diffindex import DiffIndex
 from binstrata.plans import planner
 from binstrata.plans.spec import PyramidSpec, Tier
 from binstrata.sources.shards import Registry, content_key, tiled_source, widest_present
+from binstrata.sources.store import VersionedStore
 from binstrata.streaming import tip
 
 T = ta.to_ms(datetime(2026, 1, 2))
@@ -146,7 +147,7 @@ def present(s):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_scan_algebra(spark, seed):
+def test_scan_algebra(spark, scratch, seed):
     truth, dfs = random_scans(spark, seed)
     runs = scans.islands(scans.union_scans(dfs), ["k"], ["a", "b"], carried_last=["seen"]).cache()
     for j, s in enumerate(truth):
@@ -168,6 +169,15 @@ def test_scan_algebra(spark, seed):
         step = scans.append_scan(step, dfs[j], ["k"], ["a", "b"], stamps[j], ["seen"]).drop("change")
     cols = ["k", "a", "b", "seen", "vf", "vt"]
     assert sorted(map(tuple, step.select(cols).collect()), key=repr) == sorted(map(tuple, whole.select(cols).collect()), key=repr)
+    table = scans.IntervalTable(VersionedStore(spark, f"{scratch.root}/runs"), ["k"], ["a", "b"], ["seen"])
+    for j in range(6):
+        assert table.append(dfs[j], stamps[j]) == j + 1
+    assert table.append(dfs[5], stamps[5]) == 6  # a batch that comes again
+    with pytest.raises(ValueError):
+        table.append(dfs[0], stamps[0])
+    for rows, n in ((table.rows(), 6), (table.rows(3), 3)):
+        want = scans.stamped(scans.islands(scans.union_scans(dfs[:n]), ["k"], ["a", "b"], carried_last=["seen"]), stamps[:n])
+        assert sorted(map(tuple, rows.select(cols).collect()), key=repr) == sorted(map(tuple, want.select(cols).collect()), key=repr)
     opened = scans.delta(whole, 300)
     assert {r.op for r in opened.collect()} <= {1, -1}
 
