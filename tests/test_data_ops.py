@@ -360,12 +360,27 @@ def test_snapshot_diffs_by_bloom_tables(spark, scratch, seed, churn):
 
 
 def test_small_tables_are_enlarged(spark, scratch):
-    pairs = [("d", 1, 0, k * 7919, k, s) for k in range(500) for s in ((1,) if k % 2 else (1, -1))]
-    df = spark.createDataFrame(pairs, "dataset string, scan bigint, bucket bigint, kh bigint, vh bigint, sign int")
-    want = {(k * 7919, 1) for k in range(500) if k % 2}
+    mask, h = (1 << 56) - 1, lambda x: x * 2654435761 * 40503 % (1 << 56)
+    two = [("d", s, 0, 4, h(k) & mask, h(k + 7), k) for k in range(500) for s in ((2,) if k % 2 else (1, 2))]
+    two += [two[0]] * 3 + [two[1]] * 300  # repeated rows: recovered as a difference in number
+    df = spark.createDataFrame(two, "dataset string, scan bigint, bucket bigint, size bigint, kh bigint, vh bigint, k int").repartition(3)
+    pairs = spark.createDataFrame([("d", 2)], "dataset string, later bigint")
+    want = {h(k) for k in range(500) if k % 2} | {two[0][4], two[1][4]}
     for rounds in (1, 6):  # after one round the exact comparison takes over
-        got = snapshot_diff.recover(df, scratch, size=4, rounds=rounds).collect()
-        assert {(r.kh, r.sign) for r in got} == want and len(got) == len(want)
+        got = snapshot_diff.recover(df, pairs, scratch, rounds=rounds).collect()
+        assert {r.kh for r in got} == want and len(got) == len(want)
+
+
+def test_tables_are_as_large_as_the_differences(spark, scratch):
+    n = 40_000
+    rows = spark.range(2 * n).selectExpr("'d' AS dataset", "id % 2 + 1 AS scan", "xxhash64(id div 2) & 72057594037927935 AS kh", "xxhash64(CASE WHEN id % 2 = 1 AND id div 2 % 100 = 0 THEN -1 ELSE id div 2 END, 0) & 72057594037927935 AS vh")
+    d = snapshot_diff.expected_differences(rows).where("later = 2").first().d
+    assert 400 < d < 1600  # 800 pairs
+    elements = rows.selectExpr("dataset", "scan", "pmod(kh, 8) AS bucket", "64L AS size", "kh", "vh")
+    cells = snapshot_diff.tables(elements).selectExpr("sum(size(cell)) AS n").first().n
+    assert cells < 2 * n / 5  # of 80,000 objects, in four tasks
+    pairs = spark.createDataFrame([("d", 2)], "dataset string, later bigint")
+    assert snapshot_diff.recover(elements, pairs, scratch).count() == 400
 
 
 def test_pair_hash_is_sparks(spark):
