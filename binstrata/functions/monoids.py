@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,8 @@ class Metric:
 class Monoid:
     suffixes: tuple[str, ...]
     additive: bool = True
+    #: Whether states are made from whole tables (``states``, ``merge_states``), not by aggregates.
+    framed: bool = False
 
     def from_raw(self, name: str, value: Column) -> list[Column]:
         raise NotImplementedError
@@ -53,12 +55,22 @@ class SumMonoid(Monoid):
         return [F.count(v).alias(f"{name}_n"), F.sum(v).alias(f"{name}_sum"), F.sum(v * v).alias(f"{name}_sumsq")]
 
     def finish(self, name):
-        """Mean, sample variance and standard deviation from the state; null where undefined."""
+        """Mean, sample variance and standard deviation from the state; null where undefined. See
+        :func:`exact_variance` for states of whole numbers."""
         n, s, q = (F.col(f"{name}{x}") for x in self.suffixes)
         var = F.when(n > 1, F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1)))
         return {"mean": F.when(n > 0, s / n), "var": var, "std": F.sqrt(var)}
 
 
+def exact_variance(name: str, digits: int = 6) -> Column:
+    """Sample variance times ``10 ** digits``, rounded half up, from a sum state of whole numbers below 2^53, by
+    whole numbers only; null below two values."""
+    n, s, q = (F.col(f"{name}_{x}").cast("decimal(18,0)") for x in ("n", "sum", "sumsq"))
+    spread, pairs = n * q - s * s, n * (n - 1)
+    scaled = (spread * F.lit(10**digits).cast("decimal(7,0)") * 2 + pairs).cast("decimal(38,0)")
+    return F.when(n > 1, F.call_function("div", scaled, (pairs * 2).cast("decimal(38,0)")))
+
+
 class CountMonoid(Monoid):
     """Number of rows."""
 
@@ -121,30 +133,36 @@ class QuantileMonoid(Monoid):
 
 
 class TopMonoid(Monoid):
-    """The ``k`` greatest (or least) values, exact."""
+    """The ``k`` greatest (or least) values, exact, as an array in order; nulls don't count, ties stay. Values
+    are ranked by a window that cuts every task's rows to ``k`` a group before they are shuffled, so a
+    group of any size sends ``k`` rows for each task."""
 
     def __init__(self, k: int = 10, greatest: bool = True):
-        super().__init__(("_top",), additive=False)
+        super().__init__(("_top",), additive=False, framed=True)
         object.__setattr__(self, "k", k)
         object.__setattr__(self, "up", greatest)
 
-    def _cut(self, values: Column) -> Column:
-        return F.slice(F.sort_array(values, asc=not self.up), 1, self.k)
+    def states(self, df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+        """``(*by, name_top)``; groups of nothing but nulls have an empty array."""
+        order = F.col(value).desc_nulls_last() if self.up else F.col(value).asc_nulls_last()
+        ranked = df.select(*by, F.col(value), F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("__rank")).where(F.col("__rank") <= self.k)
+        return ranked.groupBy(*by).agg(F.sort_array(F.collect_list(value), asc=not self.up).alias(f"{name}_top"))
 
-    def from_raw(self, name, value):
-        # top-k of each task's values by rank would need a window; the heap of max_by keeps it bounded
-        best = F.max_by(value, value, self.k) if self.up else F.min_by(value, value, self.k)
-        return [self._cut(best).alias(f"{name}_top")]
-
-    def merge(self, name):
-        return [self._cut(F.flatten(F.collect_list(f"{name}_top"))).alias(f"{name}_top")]
+    def merge_states(self, df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        return self.states(df.select(*by, F.explode_outer(f"{name}_top").alias("__v")), by, "__v", name)
 
 
 class HistogramMonoid(Monoid):
     """Counts by category, as a map; see :func:`histogram` and :func:`merge_histograms`."""
 
     def __init__(self):
-        super().__init__(("",))
+        super().__init__(("",), framed=True)
+
+    def states(self, df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+        return histogram(df, by, value, None, name)
+
+    def merge_states(self, df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        return merge_histograms(df, by, name)
 
 
 #: Open registry of monoids; add to it to extend the engine.
@@ -157,13 +175,9 @@ MONOIDS: dict[str, Monoid] = {
     "hll": HllMonoid(),
     "quantiles": QuantileMonoid(),
     "tdigest": QuantileMonoid(),  # the declared name; the sketch is KLL
+    "topk": TopMonoid(),
+    "botk": TopMonoid(greatest=False),
 }
-if hasattr(F, "max_by"):
-    import inspect
-
-    if len(inspect.signature(F.max_by).parameters) > 2:
-        MONOIDS |= {"topk": TopMonoid(), "botk": TopMonoid(greatest=False)}
-
 
 def register(name: str, monoid: Monoid) -> None:
     """Add a monoid under a new name."""

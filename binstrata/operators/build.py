@@ -27,6 +27,11 @@ def _split(spec: PyramidSpec) -> tuple[list, list]:
     return scalars, [m for m in spec.metrics if m.monoid == "histogram"]
 
 
+def _framed(spec: PyramidSpec) -> tuple[list, list]:
+    """Metrics whose states are made by aggregates, and those whose are made from whole tables."""
+    return tuple([m for m in spec.metrics if MONOIDS[m.monoid].framed == f] for f in (False, True))
+
+
 def _join_states(parts: list[DataFrame], keys: Sequence[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -45,15 +50,12 @@ def from_raw(raw: DataFrame, spec: PyramidSpec, ms: Column, values: Mapping[str,
     ``values`` each metric's value (a histogram's category). Rows without an instant are left out."""
     keys = [spec.bin_col, *spec.dims]
     rows = raw.select(ta.floor_col(ms, bin_ or spec.tiers[0].bin).alias(spec.bin_col), *spec.dims, *[values[m.name].alias(f"__v_{m.name}") for m in spec.metrics]).where(F.col(spec.bin_col).isNotNull())
-    scalars, hists = _split(spec)
+    scalars, framed = _framed(spec)
     parts = []
-    if scalars or not hists:
+    if scalars or not framed:
         aggs = [a for m in scalars for a in MONOIDS[m.monoid].from_raw(m.name, F.col(f"__v_{m.name}"))]
         parts.append(rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct())
-    for m in hists:
-        from binstrata.functions.monoids import histogram
-
-        parts.append(histogram(rows, keys, f"__v_{m.name}", None, m.name))
+    parts += [MONOIDS[m.monoid].states(rows, keys, f"__v_{m.name}", m.name) for m in framed]
     return _join_states(parts, keys).select(*keys, *spec.state_columns)
 
 
@@ -62,15 +64,12 @@ def rebin(states: DataFrame, spec: PyramidSpec, bin_: str) -> DataFrame:
     histograms travel as one row for each category."""
     keys = [spec.bin_col, *spec.dims]
     rows = states.withColumn(spec.bin_col, ta.floor_col(spec.bin_col, bin_))
-    scalars, hists = _split(spec)
+    scalars, framed = _framed(spec)
     parts = []
-    if scalars or not hists:
+    if scalars or not framed:
         aggs = [a for m in scalars for a in MONOIDS[m.monoid].merge(m.name)]
         parts.append(rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct())
-    for m in hists:
-        from binstrata.functions.monoids import merge_histograms
-
-        parts.append(merge_histograms(rows, keys, m.name))
+    parts += [MONOIDS[m.monoid].merge_states(rows, keys, m.name) for m in framed]
     return _join_states(parts, keys).select(*keys, *spec.state_columns)
 
 

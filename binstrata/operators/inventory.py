@@ -18,9 +18,16 @@ GRACE_MS = 6 * ta.HOUR
 PENDING_GRACE_MS = 10 * ta.MINUTE
 
 
+def _slot(*tables: DataFrame) -> list[str]:
+    """A slot's columns, with the pyramid where every table has it: a shard of one pyramid fills no gap of
+    another."""
+    return ["pyramid", *SLOT] if all("pyramid" in t.columns for t in tables) else SLOT
+
+
 def gaps(expected: DataFrame, registered: DataFrame) -> DataFrame:
-    """Expected shards that are not registered."""
-    return expected.join(registered.select(*SLOT), SLOT, "left_anti")
+    """Expected shards that are not registered, by pyramid if both tables have it."""
+    slot = _slot(expected, registered)
+    return expected.join(registered.select(*slot), slot, "left_anti")
 
 
 def stale(registered: DataFrame, requests: DataFrame, by: Sequence[str] = ("pyramid",)) -> DataFrame:
@@ -90,12 +97,14 @@ def orphans(stored: DataFrame, referenced: DataFrame, now: int, grace: int = GRA
 
 def adoptable(stored: DataFrame, registered: DataFrame) -> DataFrame:
     """Stored slots that are not registered: what reconciliation appends to the registry."""
-    return stored.join(registered.select(*SLOT), SLOT, "left_anti")
+    return gaps(stored, registered)
 
 
 def watermarks(registered: DataFrame) -> DataFrame:
-    """How far each tier and rung is registered; older shards never lower it."""
-    return registered.groupBy("tier", "shard_dur").agg(F.max("period_end").alias("latest_period_end"))
+    """How far each tier and rung, of each pyramid if there are several, is registered; older shards never
+    lower it."""
+    by = [c for c in _slot(registered) if c != "period_start"]
+    return registered.groupBy(*by).agg(F.max("period_end").alias("latest_period_end"))
 
 
 def list_shards(registered: DataFrame, tier: str | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:

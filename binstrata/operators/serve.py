@@ -123,7 +123,3 @@ def reader(spark, spec: PyramidSpec, root: str, schema) -> dict[str, DataFrame]:
 
     full = T.StructType([*schema, T.StructField("period", T.StringType())])
     return {t.name: spark.read.schema(full).parquet(f"{root}/tier={t.name}/shard={t.shards[0]}") for t in spec.tiers}
-
-
-def bins_of(lo: int, hi: int, bin_: str) -> list[int]:
-    return [a for a, _, _ in ta.periods(lo, hi, bin_)]

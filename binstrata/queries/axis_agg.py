@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binstrata.functions import monoids as mo
 from binstrata.functions import timeaxis as ta
+from binstrata.functions.monoids import Metric
 from binstrata.operators import build, scans, serve
+from binstrata.plans.spec import PyramidSpec
 from binstrata.queries.common import CENTS, EVENT_MS, EVENTS, EVENTS_HIST, Book, cents, events_base, events_tiers, sql_floor, states, states_sql
 from binstrata.session import table
 from binstrata.streaming.tip import dedupe
@@ -124,48 +127,73 @@ def a5(spark, d):
 _D = sql_floor(EVENT_MS, "1d")
 
 
-@book.add("A6_finishers", f"SELECT {_D} AS dt, event_type, round(avg({CENTS}), 4) AS mean, CAST(floor(var_samp({CENTS}) * 10 + 0.1371) AS BIGINT) AS var_tenths, round(stddev_samp({CENTS}), 4) AS std FROM events GROUP BY ALL")
+@book.add("A6_finishers", f"WITH s AS (SELECT {_D} AS dt, event_type, CAST(count(*) AS HUGEINT) AS n, CAST(sum({CENTS}) AS HUGEINT) AS s, CAST(sum({CENTS} * {CENTS}) AS HUGEINT) AS q FROM events GROUP BY ALL) SELECT dt, event_type, round(s / n, 4) AS mean, CASE WHEN n > 1 THEN CAST(((n * q - s * s) * 2000000 + n * (n - 1)) // (n * (n - 1) * 2) AS BIGINT) END AS var_millionths, CASE WHEN n > 1 THEN round(sqrt((n * q - s * s) / (n * (n - 1))), 4) END AS std, CASE WHEN n > 1 THEN true END AS var_agrees FROM s")
 def a6(spark, d):
-    """Mean, variance (in tenths, cut off the ties of decimal rounding) and deviation from merged states."""
-    f = mo.MONOIDS["sum"].finish("v")
-    return events_tiers(spark, d)["d"].select("dt", "event_type", F.round(f["mean"], 4).alias("mean"), F.floor(f["var"] * 10 + 0.1371).alias("var_tenths"), F.round(f["std"], 4).alias("std"))
+    """Mean, variance and deviation from merged states: the variance exactly, by whole numbers, and that of
+    doubles against it."""
+    f, exact = mo.MONOIDS["sum"].finish("v"), mo.exact_variance("v")
+    agrees = F.abs(f["var"] * 1e6 - exact) <= 1.0 + exact * 1e-9
+    return events_tiers(spark, d)["d"].select("dt", "event_type", F.round(f["mean"], 4).alias("mean"), exact.alias("var_millionths"), F.round(f["std"], 4).alias("std"), agrees.alias("var_agrees"))
 
 
-@book.add("A7_top_k", "SELECT event_type, rank, cents FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY event_type ORDER BY round(value * 100) DESC) AS rank FROM events) WHERE rank <= 10")
-def a7(spark, d):
-    """The ten greatest values by type, from states of hours merged."""
-    top = mo.TopMonoid(10)
-    e = table(spark, d, "events").select("event_type", ta.floor_col(ta.ms_of("ts"), "1h").alias("dt"), cents("value").alias("c"))
-    best = F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, 10) if "topk" not in mo.MONOIDS else None
-    hours = e.groupBy("event_type", "dt").agg(*(top.from_raw("x", F.col("c")) if best is None else [best.alias("x_top")]))
-    out = hours.groupBy("event_type").agg(*top.merge("x"))
+def _top(spark, d, monoid: str):
+    spec = PyramidSpec("top", EVENTS.tiers, ("event_type",), (Metric("n", "count"), Metric("x", monoid)), bin_col="dt")
+    base = build.from_raw(table(spark, d, "events"), spec, ta.ms_of("ts"), {"n": F.lit(1), "x": cents("value")})
+    out = mo.MONOIDS[monoid].merge_states(build.cascade(base, spec)["m"], ["event_type"], "x")
     return out.select("event_type", F.posexplode("x_top").alias("p", "cents")).select("event_type", (F.col("p") + 1).cast("long").alias("rank"), "cents")
 
 
-@book.add("A7_distinct_sketch")
+_TOP = "SELECT event_type, rank, cents FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER (PARTITION BY event_type ORDER BY round(value * 100) {}) AS rank FROM events) WHERE rank <= 10"
+
+
+@book.add("A7_top_k", _TOP.format("DESC"))
+def a7(spark, d):
+    """The ten greatest values by type, from the states of a pyramid, merged over its tiers."""
+    return _top(spark, d, "topk")
+
+
+@book.add("A7_bottom_k", _TOP.format("ASC"))
+def a7_least(spark, d):
+    return _top(spark, d, "botk")
+
+
+@book.add("A7_distinct_sketch", "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY ALL")
 def a7_hll(spark, d):
-    """Approximate distinct users by type, sketches of days merged."""
+    """Approximate distinct users by type, sketches of days merged: within 5 % of the exact number."""
     hll = mo.MONOIDS["hll"]
     e = table(spark, d, "events").select("event_type", ta.floor_col(ta.ms_of("ts"), "1d").alias("dt"), "user_id")
     days = e.groupBy("event_type", "dt").agg(*hll.from_raw("u", F.col("user_id")))
-    return days.groupBy("event_type").agg(*hll.merge("u")).select("event_type", hll.finish("u")["distinct"].alias("users"))
+    sketch = days.groupBy("event_type").agg(*hll.merge("u")).select("event_type", hll.finish("u")["distinct"].alias("estimate"))
+    exact = e.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
+    return exact.join(sketch, "event_type").select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= F.col("users") * 0.05).alias("close"))
 
 
-@book.add("A7_quantile_sketch")
+@book.add("A7_quantile_sketch", "SELECT event_type, UNNEST([50, 90, 95]) AS q, true AS close FROM (SELECT DISTINCT event_type FROM events)")
 def a7_kll(spark, d):
-    """Approximate quantiles by type, sketches of days merged."""
+    """Approximate quantiles by type, sketches of days merged: within two points of the exact rank."""
     q = mo.MONOIDS["quantiles"]
-    e = table(spark, d, "events").select("event_type", ta.floor_col(ta.ms_of("ts"), "1d").alias("dt"), "value")
+    e = table(spark, d, "events").select("event_type", ta.floor_col(ta.ms_of("ts"), "1d").alias("dt"), F.col("value").cast("double").alias("value"))
     days = e.groupBy("event_type", "dt").agg(*q.from_raw("v", F.col("value")))
-    return days.groupBy("event_type").agg(*q.merge("v")).select("event_type", *[c.alias(n) for n, c in q.finish("v").items()])
+    got = days.groupBy("event_type").agg(*q.merge("v")).select("event_type", *[c.alias(n) for n, c in q.finish("v").items()])
+    # the rank of an estimate lies between the shares of the values below it and up to it; one row for each type
+    rows = e.join(F.broadcast(got), "event_type")
+    ranks = rows.groupBy("event_type").agg(F.count("value").alias("n"), *[F.count_if(F.col("value") < F.col(n)).alias(f"{n}_below") for n in ("p50", "p90", "p95")], *[F.count_if(F.col("value") <= F.col(n)).alias(f"{n}_to") for n in ("p50", "p90", "p95")])
+    close = lambda p: (F.col(f"p{p}_below") / F.col("n") <= p / 100 + 0.02) & (F.col(f"p{p}_to") / F.col("n") >= p / 100 - 0.02)
+    return ranks.select("event_type", F.explode(F.array(*[F.struct(F.lit(p).alias("q"), close(p).alias("close")) for p in (50, 90, 95)])).alias("r")).select("event_type", "r.*")
 
 
-@book.add("A7_top_items_sketch")
+@book.add("A7_top_items_sketch", "SELECT event_type, UNNEST([1, 2, 3, 4, 5]) AS rank, true AS close FROM (SELECT DISTINCT event_type FROM events)")
 def a7_items(spark, d):
-    """Approximate most frequent users by type, states of days combined."""
+    """Approximate most frequent users by type, states of days combined: their numbers are within a thousandth
+    of all rows of those of the exact ranks."""
     e = table(spark, d, "events").withColumn("dt", ta.floor_col(ta.ms_of("ts"), "1d"))
     days = e.groupBy("event_type", "dt").agg(F.expr("approx_top_k_accumulate(user_id)").alias("s"))
-    return days.groupBy("event_type").agg(F.expr("approx_top_k_combine(s)").alias("s")).select("event_type", F.posexplode(F.expr("approx_top_k_estimate(s, 5)")).alias("p", "e")).select("event_type", F.col("p").alias("rank"), F.col("e.item").alias("user_id"), F.col("e.count").alias("n"))
+    got = days.groupBy("event_type").agg(F.expr("approx_top_k_combine(s)").alias("s")).select("event_type", F.posexplode(F.expr("approx_top_k_estimate(s, 5)")).alias("p", "e"))
+    got = got.select("event_type", (F.col("p") + 1).alias("rank"), F.col("e.count").alias("n"))
+    exact = e.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("exact"))
+    exact = exact.withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("exact")))).where("rank <= 5").drop("user_id")
+    total = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("all"))
+    return got.join(exact, ["event_type", "rank"]).join(total, "event_type").select("event_type", "rank", (F.abs(F.col("n") - F.col("exact")) <= F.greatest(F.lit(1), F.col("all") / 1000)).alias("close"))
 
 
 @book.add("A12_arg_min_max", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status FROM orders GROUP BY ALL")
@@ -238,15 +266,17 @@ def p_lex(spark, d):
     return table(spark, d, "orders").select(*cols).where(serve.lexicographic(cols, ("2-HIGH", "F", 500), ("4-NOT SPECIFIED", "O", 1000)))
 
 
-@book.add("P11_balanced_ranges")
+@book.add("P11_balanced_ranges", "SELECT CAST(UNNEST(range(0, 8)) AS INT) AS part, (SELECT count(*) FROM orders) AS total, true AS balanced")
 def p_ranges(spark, d):
-    """Eight ranges of about equal size, with their row counts."""
+    """Eight ranges of about equal size: each has within a tenth of an eighth of the rows, together all."""
     o = table(spark, d, "orders").select("o_orderkey")
     ranges = serve.balanced_ranges(o, "o_orderkey", 8)
     k = F.lit(0)
     for lo, _ in ranges[1:]:
         k = k + (F.col("o_orderkey") >= lo).cast("int")
-    return o.groupBy(k.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    parts = o.groupBy(k.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    total = parts.agg(F.sum("n").alias("total"))
+    return parts.join(F.broadcast(total)).select("part", "total", (F.abs(F.col("n") * 8 / F.col("total") - 1) <= 0.1).alias("balanced"))
 
 
 @book.add("P13_prefix_filter", "SELECT key, count(*) AS n FROM longform WHERE NOT starts_with(key, 'avail') GROUP BY ALL")

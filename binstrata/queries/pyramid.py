@@ -13,7 +13,7 @@ from binstrata.plans import cover, planner
 from binstrata.plans.spec import PyramidSpec, Tier
 from binstrata.queries.common import EVENT_MS, EVENTS, EVENTS_HIST, SHIPPED, Book, cents, events_base, events_tiers, shipped_tiers, sql_floor, states, states_sql
 from binstrata.session import Scratch, table
-from binstrata.sources.shards import Registry, content_key, tiled_source, write_tiles
+from binstrata.sources.shards import Registry, content_key, read_table, tiled_source, write_tiles
 from binstrata.sources.store import VersionedStore
 from binstrata.streaming import tip
 
@@ -71,40 +71,26 @@ def b8(spark, d):
     return built.groupBy(F.lit("h").alias("tier"), "period").agg(F.sum("n").alias("n"))
 
 
-@book.add("B10_missing_tiles", f"WITH have AS (SELECT DISTINCT {H} AS a FROM events), want AS (SELECT UNNEST(generate_series({T0}, {T1 - 1}, 3600000)) AS a) SELECT a AS period_start FROM want WHERE a NOT IN (SELECT a FROM have)")
+@book.add("B10_missing_tiles", f"WITH have AS (SELECT DISTINCT {sql_floor(EVENT_MS, '15min')} AS a FROM events WHERE event_type = 'error' OR event_type = 'purchase'), want AS (SELECT UNNEST(generate_series({ALL[0]}, {ALL[1] - 1}, 900000)) AS a) SELECT a AS period_start FROM want WHERE a NOT IN (SELECT a FROM have)")
 def b10(spark, d):
-    """Source tiles that are expected and have no rows."""
-    want = spark.range(T0, T1, ta.HOUR).select(F.col("id").alias("period_start"))
-    have = events_tiers(spark, d)["h"].select(F.col("dt").alias("period_start"))
+    """Source tiles that are expected and have no rows: the quarters of an hour without certain events."""
+    want = spark.range(*ALL, 15 * ta.MINUTE).select(F.col("id").alias("period_start"))
+    have = events_base(spark, d).where(F.col("event_type").isin("error", "purchase")).select(F.col("dt").alias("period_start"))
     return build.check_coverage(want, have, ["period_start"], max_missing=10**9)
 
 
 _TIERS = PyramidSpec("shards", (Tier("q", "15min", ("6h", "1d")), Tier("h", "1h", ("1d", "4d")), Tier("d", "1d", ("4d",))))
 
 
-@book.add("B13_source_cover", """WITH live AS (SELECT tier, epoch_ms(period_start) AS a, epoch_ms(period_end) AS b, shard_dur FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur, period_start ORDER BY written_at DESC NULLS LAST) rn FROM pyramid_shards) WHERE rn = 1 AND period_end > period_start AND pyramid = (SELECT min(pyramid) FROM pyramid_shards WHERE tier = 'd')),
-gaps AS (SELECT CAST(k * 4 * 86400000 AS BIGINT) AS g0, CAST((k + 1) * 4 * 86400000 AS BIGINT) AS g1 FROM (SELECT UNNEST(range((SELECT min(a) FROM live) // 345600000, (SELECT max(a) FROM live) // 345600000)) AS k)),
-p AS (SELECT g0, g1, greatest(a, g0) AS a, least(b, g1) AS b FROM gaps JOIN live ON live.tier = 'h' AND a < g1 AND g0 < b),
-v AS (SELECT *, max(b) OVER (PARTITION BY g0 ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
-c AS (SELECT g0, CAST(sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS BIGINT) AS covered FROM v GROUP BY g0)
-SELECT g0 AS period_start, g1 AS period_end, coalesce(covered, 0) AS covered, g1 - g0 - coalesce(covered, 0) AS uncovered FROM gaps LEFT JOIN c USING (g0)""")
-def b13(spark, d):
-    """How much of each missing four-day shard the hour tier's shards of one pyramid cover."""
-    shards = table(spark, d, "pyramid_shards")
-    first = shards.where("tier = 'd'").agg(F.min("pyramid")).first()[0]
-    rows = _source_cover(shards.where(F.col("pyramid") == first))
-    return rows.where(F.col("period_start") < rows.agg(F.max("period_start")).first()[0]).drop("pyramid")  # its SQL ends before the last slot
-
-
-@book.add("B13_source_cover_whole", """WITH live AS (SELECT pyramid, tier, epoch_ms(period_start) AS a, epoch_ms(period_end) AS b FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur, period_start ORDER BY written_at DESC NULLS LAST) rn FROM pyramid_shards) WHERE rn = 1 AND period_end > period_start),
+@book.add("B13_source_cover", """WITH live AS (SELECT pyramid, tier, epoch_ms(period_start) AS a, epoch_ms(period_end) AS b FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur, period_start ORDER BY written_at DESC NULLS LAST) rn FROM pyramid_shards) WHERE rn = 1 AND period_end > period_start),
 edges AS (SELECT pyramid, min(a) // 345600000 AS k0, max(a) // 345600000 AS k1 FROM live WHERE pyramid IS NOT NULL GROUP BY 1),
 gaps AS (SELECT pyramid, CAST(k * 345600000 AS BIGINT) AS g0, CAST((k + 1) * 345600000 AS BIGINT) AS g1 FROM (SELECT pyramid, UNNEST(range(k0, k1 + 1)) AS k FROM edges)),
 p AS (SELECT pyramid, g0, g1, greatest(a, g0) AS a, least(b, g1) AS b FROM gaps JOIN live USING (pyramid) WHERE live.tier = 'h' AND a < g1 AND g0 < b),
 v AS (SELECT *, max(b) OVER (PARTITION BY pyramid, g0 ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
 c AS (SELECT pyramid, g0, CAST(sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS BIGINT) AS covered FROM v GROUP BY ALL)
 SELECT pyramid, g0 AS period_start, g1 AS period_end, coalesce(covered, 0) AS covered, g1 - g0 - coalesce(covered, 0) AS uncovered FROM gaps LEFT JOIN c USING (pyramid, g0)""")
-def b13_whole(spark, d):
-    """The same for every pyramid."""
+def b13(spark, d):
+    """How much of the four-day slots of every pyramid its hour tier covers."""
     return _source_cover(table(spark, d, "pyramid_shards"))
 
 
@@ -125,7 +111,10 @@ def b15(spark, d):
     return spark.createDataFrame(rows, "tier string, period_end bigint, ready bigint")
 
 
-@book.add("B16_tile_from_existing")
+@book.add("B16_tile_from_existing", """WITH m AS (SELECT make_timestamp(2026, CAST(k AS INT), 1, 0, 0, 0) AS a, k FROM (SELECT UNNEST(range(1, 13)) AS k)),
+d AS (SELECT UNNEST(range(a, a + INTERVAL 1 MONTH, INTERVAL 1 DAY)) AS a FROM m WHERE k % 2 = 0)
+SELECT 'pick' AS kind, '1mo' AS shard, epoch_ms(a) AS lo, epoch_ms(a + INTERVAL 1 MONTH) AS hi FROM m WHERE k % 2 = 1 UNION ALL
+SELECT CASE WHEN day(a) = 10 THEN 'hole' ELSE 'pick' END, CASE WHEN day(a) <> 10 THEN '1d' END, epoch_ms(a), epoch_ms(a) + 86400000 FROM d""")
 def b16(spark, d):
     """A year's shard of days put together from months and days that exist."""
     tier = Tier("d", "1d", ("1d", "1mo", "1y"))
@@ -136,7 +125,8 @@ def b16(spark, d):
     return spark.createDataFrame(rows, "kind string, shard string, lo bigint, hi bigint")
 
 
-@book.add("B17_overlap_cover")
+@book.add("B17_overlap_cover", """SELECT * FROM (VALUES ('pick', '4d', 1704499200000, 1704844800000), ('pick', '1d', 1704844800000, 1704931200000), ('pick', '1d', 1705017600000, 1705035600000),
+('hole', NULL, 1704416400000, 1704499200000), ('hole', NULL, 1704931200000, 1705017600000)) t(kind, shard, lo, hi)""")
 def b17(spark, d):
     """A range covered by shards that only overlap it, each clipped."""
     tier = Tier("h", "1h", ("1d", "4d"))
@@ -190,12 +180,25 @@ def b22(spark, d):
     return build.identity_rollup(once, spec, "who", ids).select("dt", "who", "n", F.col("v_sum").cast("long").alias("v_sum"))
 
 
-@book.add("B24_expected_cover", """WITH p AS (SELECT 'd' AS tier, '4d' AS shard_dur, CAST(a AS BIGINT) AS a, CAST(a + 345600000 AS BIGINT) AS b FROM (SELECT UNNEST(range(1704067200000 // 345600000 * 345600000, 1706745600000 // 345600000 * 345600000, 345600000)) AS a))
-SELECT tier, shard_dur, a AS period_start, b AS period_end, greatest(a, 1704067200000) AS effective_start, least(b, 1706745600000) AS effective_end FROM p""")
+_EDGE = ALL[1] - 5 * ta.HOUR  # ends within a day
+
+
+def _cover_sql(tier: str, days: list[int]) -> str:
+    """Closed periods of the widest rung, then of each smaller one from where the wider ones end."""
+    parts, at = [], f"({ALL[0]} // {days[0] * ta.DAY} * {days[0] * ta.DAY})"
+    for n in days:
+        w = n * ta.DAY
+        end = f"({_EDGE} // {w} * {w})"
+        parts.append(f"SELECT '{tier}' AS tier, '{n}d' AS shard_dur, CAST(a AS BIGINT) AS period_start, CAST(a + {w} AS BIGINT) AS period_end FROM (SELECT UNNEST(range({at}, {end}, {w})) AS a)")
+        at = end
+    return " UNION ALL ".join(parts)
+
+
+@book.add("B24_expected_cover", f"SELECT *, greatest(period_start, {ALL[0]}) AS effective_start, least(period_end, {_EDGE}) AS effective_end FROM ({_cover_sql('d', [16, 4, 1])} UNION ALL {_cover_sql('h', [2, 1])})")
 def b24(spark, d):
-    """The least cover of a month by four-day shards."""
-    spec = PyramidSpec("e", (Tier("d", "1d", ("4d",)),))
-    return cover.expected_table(spark, spec, *ALL).drop("key")
+    """The least cover of a span that ends within a day, by two tiers of several rungs."""
+    spec = PyramidSpec("e", (Tier("h", "1h", ("1d", "2d")), Tier("d", "1d", ("1d", "4d", "16d"))))
+    return cover.expected_table(spark, spec, ALL[0], _EDGE).drop("key")
 
 
 @book.add("B26_compare_tables", f"SELECT {H} AS dt, event_type, 'different' AS verdict FROM events WHERE event_type = 'click' GROUP BY ALL HAVING count(*) % 2 = 0 UNION ALL SELECT {H}, event_type, 'only_a' FROM events WHERE event_type <> 'click' AND {H} >= {T1} GROUP BY ALL")
@@ -232,12 +235,13 @@ def q2_tail(spark, d):
     return states(df)
 
 
-@book.add("Q2_plan_segments")
+@book.add("Q2_plan_segments", """SELECT * FROM (VALUES ('d', '4d', 1704412800000, 1704758400000, false, 'd/4d/2024-01-02.parquet d/4d/2024-01-06.parquet'),
+('h', '1d', 1704758400000, 1704931200000, true, 'h/1d/2024-01-09.parquet h/1d/2024-01-10.parquet'), ('q', '1d', 1704931200000, 1705017600000, true, 'q/1d/2024-01-11.parquet')) t(tier, shard, lo, hi, reaggregate, keys)""")
 def q2_plan(spark, d):
     """The plan behind that query, by segment (Q19, Q20, Q21)."""
     marks = {"d@4d": T0 + 4 * ta.DAY, "h@4d": T0 + 4 * ta.DAY, "h@1d": T0 + 6 * ta.DAY}
     p = planner.plan_query(EVENTS, T0, T1, 10, watermarks=marks)
-    return spark.createDataFrame([(s.tier, s.shard_dur, s.lo, s.hi, s.reaggregate, list(s.keys)) for s in p.segments], "tier string, shard string, lo bigint, hi bigint, reaggregate boolean, keys array<string>")
+    return spark.createDataFrame([(s.tier, s.shard_dur, s.lo, s.hi, s.reaggregate, " ".join(s.keys)) for s in p.segments], "tier string, shard string, lo bigint, hi bigint, reaggregate boolean, keys string")
 
 
 S6 = sql_floor(EVENT_MS, "6h")
@@ -344,17 +348,8 @@ def q16(spark, d):
 # -- sources, registry, freshness -------------------------------------------------------------------
 
 
-@book.add("S3_tiled_source", f"SELECT {D} AS dt, count(*) AS n FROM events {between(T0, T0 + 3 * ta.DAY, D)} GROUP BY ALL")
+@book.add("S3_tiled_source", f"SELECT {D} AS dt, count(*) AS n FROM events GROUP BY ALL")
 def s3(spark, d):
-    """Daily tiles of the whole table written as files, and three of them read back by range."""
-    rows, missing = _tiles(spark, d, T0, T0 + 3 * ta.DAY)
-    if missing:
-        raise AssertionError(missing)
-    return rows
-
-
-@book.add("S3_tiled_source_whole", f"SELECT {D} AS dt, count(*) AS n FROM events GROUP BY ALL")
-def s3_whole(spark, d):
     """The same for every day of the table, and the day after its last, which has no tile."""
     days = table(spark, d, "events").select(ta.floor_col(ta.ms_of("ts"), "1d").alias("dt")).where("dt IS NOT NULL").distinct()
     have = sorted(r[0] for r in days.collect())  # one number a day
@@ -393,6 +388,17 @@ def registry(spark, d):
     return live_rows(table(spark, d, "pyramid_shards")).select("pyramid", "tier", "shard_dur", F.unix_millis("period_start").alias("period_start"), F.unix_millis("period_end").alias("period_end"), "key", F.unix_millis("written_at").alias("written_at"))
 
 
+@book.add("S8_table_formats", " UNION ALL ".join(f"SELECT '{k}' AS kind, n_nationkey, n_name FROM nation" for k in ("parquet", "orc", "json", "csv")))
+def s8(spark, d):
+    """One table written in each built-in format and read again."""
+    rows, root, out = table(spark, d, "nation").select("n_nationkey", "n_name"), Scratch(spark, "formats").root, None
+    for kind in ("parquet", "orc", "json", "csv"):
+        rows.write.format(kind).save(f"{root}/{kind}")
+        got = read_table(spark, f"{root}/{kind}", kind, rows.schema).select(F.lit(kind).alias("kind"), "n_nationkey", "n_name")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @book.add("S9_registry_live", f"WITH {_LIVE} SELECT * FROM live")
 def s9(spark, d):
     """The live row of each slot, through a registry that took the rows by two appends."""
@@ -486,24 +492,15 @@ def f11(spark, d):
     return inventory.orphans(stored, registry(spark, d), NOW)
 
 
-@book.add("F12_adopt", f"WITH {_LIVE} SELECT tier, shard_dur, period_start FROM (SELECT DISTINCT tier, shard_dur, period_start FROM live) x WHERE NOT EXISTS (SELECT 1 FROM live y WHERE y.tier = x.tier AND y.shard_dur = x.shard_dur AND y.period_start = x.period_start AND starts_with(y.pyramid, 'avail'))")
+@book.add("F12_adopt", f"WITH {_LIVE}, r AS (SELECT pyramid, tier, shard_dur, epoch_ms(period_start) AS period_start FROM (SELECT *, row_number() OVER (PARTITION BY pyramid, tier, shard_dur, period_start ORDER BY written_at DESC NULLS LAST) rn FROM pyramid_shards) WHERE rn = 1 AND n_bytes IS NOT NULL) SELECT pyramid, tier, shard_dur, period_start FROM live x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.pyramid = x.pyramid AND r.tier = x.tier AND r.shard_dur = x.shard_dur AND r.period_start = x.period_start)")
 def f12(spark, d):
-    """Slots that are stored and not registered."""
-    r = registry(spark, d)
-    return inventory.adoptable(r.select("tier", "shard_dur", "period_start").distinct(), r.where(F.col("pyramid").startswith("avail")))
+    """Stored slots of every pyramid that are not registered with their size."""
+    r = live_rows(table(spark, d, "pyramid_shards")).withColumn("period_start", F.unix_millis("period_start"))
+    return inventory.adoptable(r.select("pyramid", "tier", "shard_dur", "period_start"), r.where("n_bytes IS NOT NULL"))
 
 
-@book.add("F14_cover_status", f"WITH {_LIVE}, h AS (SELECT DISTINCT period_start FROM live WHERE tier = 'd' AND shard_dur = '4d' AND starts_with(pyramid, 'usage')), e AS (SELECT CAST(s AS BIGINT) AS s FROM (SELECT UNNEST(range({ALL[0]} // 345600000 * 345600000, {ALL[1]} // 345600000 * 345600000, 345600000)) AS s)) SELECT coalesce(s, period_start) AS period_start, CASE WHEN s IS NULL THEN 'stale' WHEN period_start IS NOT NULL THEN 'present' ELSE 'missing' END AS status FROM e FULL JOIN h ON s = period_start")
+@book.add("F14_cover_status", f"WITH {_LIVE}, h AS (SELECT DISTINCT pyramid, period_start FROM live WHERE tier = 'd' AND shard_dur = '4d'), g AS (SELECT pyramid, min(period_start) // 345600000 * 345600000 AS a, max(period_start) // 345600000 * 345600000 AS b FROM h WHERE pyramid IS NOT NULL AND period_start IS NOT NULL GROUP BY 1), e AS (SELECT pyramid, CAST(UNNEST(range(a, b + 1, 345600000)) AS BIGINT) AS s FROM g) SELECT coalesce(e.pyramid, h.pyramid) AS pyramid, coalesce(s, period_start) AS period_start, CASE WHEN s IS NULL THEN 'stale' WHEN period_start IS NOT NULL THEN 'present' WHEN s + 345600000 > {NOW} - 600000 THEN 'pending' ELSE 'missing' END AS status FROM e FULL JOIN h ON e.pyramid = h.pyramid AND s = period_start")
 def f14(spark, d):
-    """Present, pending, missing and stale slots of the day tier."""
-    live = registry(spark, d).where("tier = 'd' AND shard_dur = '4d'").where(F.col("pyramid").startswith("usage"))
-    one = live.groupBy("tier", "shard_dur", "period_start").agg(F.max("period_end").alias("period_end"))
-    expected = cover.expected_table(spark, PyramidSpec("e", (Tier("d", "1d", ("4d",)),)), *ALL)
-    return inventory.cover_status(expected, one, F.col("period_end"), NOW).select("period_start", "status")
-
-
-@book.add("F14_cover_status_whole", f"WITH {_LIVE}, h AS (SELECT DISTINCT pyramid, period_start FROM live WHERE tier = 'd' AND shard_dur = '4d'), g AS (SELECT pyramid, min(period_start) // 345600000 * 345600000 AS a, max(period_start) // 345600000 * 345600000 AS b FROM h WHERE pyramid IS NOT NULL AND period_start IS NOT NULL GROUP BY 1), e AS (SELECT pyramid, CAST(UNNEST(range(a, b + 1, 345600000)) AS BIGINT) AS s FROM g) SELECT coalesce(e.pyramid, h.pyramid) AS pyramid, coalesce(s, period_start) AS period_start, CASE WHEN s IS NULL THEN 'stale' WHEN period_start IS NOT NULL THEN 'present' WHEN s + 345600000 > {NOW} - 600000 THEN 'pending' ELSE 'missing' END AS status FROM e FULL JOIN h ON e.pyramid = h.pyramid AND s = period_start")
-def f14_whole(spark, d):
     """The same of every pyramid, over all of its registered span."""
     one = registry(spark, d).where("tier = 'd' AND shard_dur = '4d'").groupBy("pyramid", "tier", "shard_dur", "period_start").agg(F.max("period_end").alias("period_end"))
     w = 4 * ta.DAY
@@ -513,14 +510,8 @@ def f14_whole(spark, d):
     return inventory.cover_status(expected, one, F.col("period_end"), NOW, by=["pyramid"]).select("pyramid", "period_start", "status")
 
 
-@book.add("S13_tip_stream", f"SELECT {sql_floor(EVENT_MS, '15min')} AS dt, event_type, user_id, value FROM events WHERE {D} < {T0} QUALIFY row_number() OVER (PARTITION BY {EVENT_MS}, event_type, user_id ORDER BY value DESC) = 1")
+@book.add("S13_tip_stream", f"SELECT {sql_floor(EVENT_MS, '15min')} AS dt, event_type, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY {EVENT_MS}, event_type, user_id ORDER BY value DESC) = 1")
 def s13(spark, d):
-    """The first four days of the tip that the whole table was streamed into."""
-    return _tip(spark, d).where(F.col("dt") < T0)
-
-
-@book.add("S13_tip_stream_whole", f"SELECT {sql_floor(EVENT_MS, '15min')} AS dt, event_type, user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY {EVENT_MS}, event_type, user_id ORDER BY value DESC) = 1")
-def s13_whole(spark, d):
     """The whole table streamed into the tip."""
     return _tip(spark, d)
 

@@ -113,8 +113,3 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema=Non
     reader = spark.read.format(kind).options(**options)
     reader = reader.schema(schema) if schema is not None else reader
     return reader.load() if kind == "jdbc" else reader.load(path)
-
-
-def written_since(files: DataFrame, since: int) -> DataFrame:
-    """Files ``(key, mtime)`` written after an instant."""
-    return files.where(F.col("mtime") > since)
