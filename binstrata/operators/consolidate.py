@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +66,13 @@ class Archives:
             zero = zero & (F.coalesce(F.col(c), F.lit(0)) == 0)
         cols = [*self.keys, *self.states]
         return self.scan(label).agg(*digest(cols)).first() == original.where(~zero).select(*cols).agg(*digest(cols)).first()
+
+    def drop_verified(self, originals: Mapping[str, str]) -> list[str]:
+        """Delete the originals, paths of Parquet by label, that an archive holds and whose rows it gives back
+        digest for digest; returns their labels. All others stay."""
+        gone = []
+        for label, path in originals.items():
+            if self.resolve(label) is not None and self.verified(label, self.store.spark.read.parquet(path)):
+                self.store.discard(path)
+                gone.append(label)
+        return gone

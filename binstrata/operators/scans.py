@@ -329,3 +329,13 @@ def patch(rows: DataFrame, changeset: DataFrame, keys: Sequence[str], states: Se
     both = left.join(c, _join_on(left, keys, "__c_"), "full_outer")
     out = both.select(*[F.coalesce(F.col(k), F.col(f"__c_{k}")).alias(k) for k in keys], *[F.when(F.col("__hit").isNotNull(), F.col(f"__c_{s}__b")).otherwise(F.col(s)).alias(s) for s in states])
     return out.where(~_identity(states))
+
+
+def synthetic_scans(spark, n_keys: int, n_scans: int, churn: float, births: float = 0.0, seed: int = 0) -> DataFrame:
+    """``(k, v, __scan)``: generated scans, by arithmetic, so the same everywhere. From scan to scan the value of
+    a share ``churn`` of the keys rises by one, and a share ``births`` of them comes or goes."""
+    hit = lambda i, share, salt: F.pmod(F.col("k") * 7919 + i * 104729 + (seed + salt) * 611953, F.lit(10_000)) < int(share * 10_000)
+    steps = lambda share, salt: F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("__scan")), F.lit(0).cast("long"), lambda a, i: a + F.when((i > 0) & hit(i, share, salt), 1).otherwise(0))
+    grid = spark.range(n_keys).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_scans - 1).cast("long"))).alias("__scan"))
+    rows = grid.select("k", (F.pmod(F.col("k") * 31, F.lit(997)) + steps(churn, 0)).alias("v"), "__scan", (F.pmod(steps(births, 1), F.lit(2)) == 0).alias("__there"))
+    return rows.where("__there").drop("__there")

@@ -63,6 +63,8 @@ def fetch(tiers: Mapping[str, DataFrame], spec: PyramidSpec, plan: Plan, filters
     parts = []
     for name in dict.fromkeys(s.tier for s in plan.segments):
         cond = F.lit(False)
+        if name not in tiers:
+            continue
         df, rung = tiers[name], spec.tier(name).shards[0]
         for s in plan.segments:
             if s.tier == name:
@@ -123,3 +125,55 @@ def reader(spark, spec: PyramidSpec, root: str, schema) -> dict[str, DataFrame]:
 
     full = T.StructType([*schema, T.StructField("period", T.StringType())])
     return {t.name: spark.read.schema(full).parquet(f"{root}/tier={t.name}/shard={t.shards[0]}") for t in spec.tiers}
+
+
+class QueryError(ValueError):
+    """A parameter of a query can't be understood."""
+
+
+def query_params(spec: PyramidSpec, params: Mapping[str, str]) -> dict:
+    """The arguments of :func:`query` from texts: ``from`` and ``to`` (ISO instants, required, ``from`` before
+    ``to``), ``bin_budget`` (a whole number above 0, 1024 by default), ``smooth`` (a duration) with ``smooth_mode``
+    (``trailing`` or ``centered``), and one text for each dimension, several values parted by commas. Anything
+    else raises :class:`QueryError`."""
+    from datetime import datetime, timezone
+
+    known = {"from", "to", "bin_budget", "smooth", "smooth_mode", *spec.dims}
+    if odd := sorted(set(params) - known):
+        raise QueryError(f"unknown parameter {odd[0]!r}")
+
+    def instant(name: str) -> int:
+        try:
+            at = datetime.fromisoformat(params[name])
+        except KeyError:
+            raise QueryError(f"{name} is missing") from None
+        except ValueError:
+            raise QueryError(f"{name} is no instant: {params[name]!r}") from None
+        return ta.to_ms(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
+
+    lo, hi = instant("from"), instant("to")
+    if lo >= hi:
+        raise QueryError("from must lie before to")
+    budget = params.get("bin_budget", "1024")
+    if not budget.isdecimal() or int(budget) < 1:
+        raise QueryError(f"bin_budget is no whole number above 0: {budget!r}")
+    out: dict = {"lo": lo, "hi": hi, "bin_budget": int(budget)}
+    mode = params.get("smooth_mode", "centered")
+    if mode not in ("trailing", "centered"):
+        raise QueryError(f"unknown smooth_mode {mode!r}")
+    if "smooth" in params:
+        try:
+            ta.parse(params["smooth"])
+        except ValueError:
+            raise QueryError(f"smooth is no duration: {params['smooth']!r}") from None
+        out |= {"smoothing": params["smooth"], "mode": mode}
+    kinds = {"int": int, "integer": int, "bigint": int, "int64": int, "double": float, "float": float}
+    dims = {}
+    for d in spec.dims:
+        if d in params:
+            try:
+                values = [kinds.get(spec.dim_types.get(d, "string"), str)(v) for v in params[d].split(",")]
+            except ValueError:
+                raise QueryError(f"{d}: {params[d]!r}") from None
+            dims[d] = values if len(values) > 1 else values[0]
+    return out | ({"dims": dims} if dims else {})

@@ -82,6 +82,16 @@ def check_ladder(tier: Tier) -> None:
             raise SpecError(f"tier {tier.name}: {a} does not divide {b}")
 
 
+def check_window(window: str, spec: PyramidSpec) -> int:
+    """The width of a build window in milliseconds: fixed, and whole bins of the finest tier."""
+    span, bin_ = ta.parse(window), spec.tiers[0].bin
+    if span.calendar:
+        raise SpecError(f"window {window} has no fixed width")
+    if not ta.divides(bin_, span):
+        raise SpecError(f"window {window} is no multiple of the bin {bin_}")
+    return span.fixed_ms
+
+
 def check_template(template: str, ladders: bool) -> None:
     """Rules of key templates: several rungs need ``{shard}``; one hash at most, of 8 to 32 digits."""
     if ladders and "{shard}" not in template:

@@ -259,15 +259,13 @@ def m30(spark, d):
     return treediff.walk(tree(spark, d, False), tree(spark, d, True), Scratch(spark, "walk"), floor=treediff.render_floor(30 * 100 * 100, 100, 100, 1))
 
 
-@book.add("M33_synthetic_churn", "SELECT j AS scan, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM (SELECT k, j, (k * 31) % 997 + (SELECT count(*) FROM (SELECT UNNEST(range(1, j + 1)) AS i) WHERE (k * 7919 + i * 104729) % 100 < 5) AS size FROM (SELECT UNNEST(range(0, 2000)) AS k), (SELECT UNNEST(range(0, 10)) AS j)) GROUP BY j")
+@book.add("M33_synthetic_churn", "SELECT UNNEST(['densify', 'interval']) AS encoder, j AS scan, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM (SELECT k, j, (k * 31) % 997 + (SELECT count(*) FROM (SELECT UNNEST(range(1, j + 1)) AS i) WHERE (k * 7919 + i * 104729) % 10000 < 500) AS v FROM (SELECT UNNEST(range(0, 2000)) AS k), (SELECT UNNEST(range(0, 10)) AS j)) GROUP BY j")
 def m33(spark, d):
-    """Generated scans of given size and churn, consolidated and read back by scan."""
-    keys = spark.range(2000).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("__scan"))
-    moves = F.aggregate(F.sequence(F.lit(0), F.col("__scan")), F.lit(0), lambda a, i: a + F.when((i > 0) & (F.pmod(F.col("k") * 7919 + i * 104729, F.lit(100)) < 5), 1).otherwise(0))
-    long = keys.withColumn("size", (F.pmod(F.col("k") * 31, F.lit(997)) + moves).cast("long")).withColumn("n", F.lit(1).cast("long"))
-    runs = scans.islands(long, KEYS, STATES)
-    back = runs.select("size", F.explode(F.sequence("__scan_lo", "__scan_hi")).alias("scan"))
-    return back.groupBy("scan").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    """Generated scans of given size and churn, consolidated by both encoders and read back by scan."""
+    long = scans.synthetic_scans(spark, 2000, 10, 0.05)
+    runs = scans.islands(long, ["k"], ["v"]).select("v", F.explode(F.sequence("__scan_lo", "__scan_hi")).alias("scan"), F.lit("interval").alias("encoder"))
+    dense = scans.densify(long, ["k"], ["v"], 10).select("v", F.col("__scan").alias("scan"), F.lit("densify").alias("encoder"))
+    return runs.unionByName(dense).groupBy("encoder", "scan").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
 
 
 # -- joins ------------------------------------------------------------------------------------------

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from binstrata.functions import timeaxis as ta
 from binstrata.operators import build, inventory, serve
-from binstrata.operators.fill import fill, insert_statements
+from binstrata.operators.canonical import canonicalize_shards
+from binstrata.operators.fill import classify_gaps, fill, insert_statements, spent
 from binstrata.operators.registry import live_rows
 from binstrata.plans import cover, planner
 from binstrata.plans.spec import PyramidSpec, Tier
-from binstrata.queries.common import EVENT_MS, EVENTS, EVENTS_HIST, SHIPPED, Book, cents, events_base, events_tiers, shipped_tiers, sql_floor, states, states_sql
+from binstrata.queries.common import CENTS, EVENT_MS, EVENTS, EVENTS_HIST, SHIPPED, Book, cents, events_base, events_tiers, shipped_tiers, sql_floor, states, states_sql
 from binstrata.session import Scratch, table
 from binstrata.sources.shards import Registry, content_key, read_table, tiled_source, write_tiles
 from binstrata.sources.store import VersionedStore
@@ -71,6 +72,22 @@ def b8(spark, d):
     return built.groupBy(F.lit("h").alias("tier"), "period").agg(F.sum("n").alias("n"))
 
 
+_GAP_TO, _GAP_END = ALL[0] + 20 * ta.DAY, ALL[0] + 28 * ta.DAY
+
+
+@book.add("B8_gap_classes", f"""WITH have AS (SELECT DISTINCT {D} AS t FROM events WHERE ({D} // 86400000) % 5 <> 0),
+tiles AS (SELECT CAST(t AS BIGINT) AS t, NOT EXISTS (SELECT 1 FROM have WHERE have.t = w.t) AS gone FROM (SELECT UNNEST(range({ALL[0]}, {_GAP_END}, 86400000)) AS t) w),
+gaps AS (SELECT 'h' AS tier, '1d' AS shard_dur, CAST(a AS BIGINT) AS a, CAST(a + 86400000 AS BIGINT) AS b FROM (SELECT UNNEST(range({ALL[0]}, {ALL[1]}, 86400000)) AS a)
+UNION ALL SELECT 'd', '4d', CAST(a AS BIGINT), CAST(a + 345600000 AS BIGINT) FROM (SELECT UNNEST(range({ALL[0]} // 345600000 * 345600000, {ALL[1]} // 345600000 * 345600000, 345600000)) AS a))
+SELECT tier, shard_dur, a AS period_start, CASE WHEN b > {_GAP_END} THEN 'unfillable' WHEN EXISTS (SELECT 1 FROM tiles WHERE gone AND t < b AND a < t + 86400000 AND t + 86400000 > {_GAP_TO}) THEN 'deferred' ELSE 'fillable' END AS status FROM gaps""")
+def b8_classes(spark, d):
+    """Gaps by whether they can be filled, with every fifth tile of the source absent and a fifth tolerated."""
+    spec = PyramidSpec("e", (Tier("h", "1h", ("1d",)), Tier("d", "1d", ("4d",))))
+    days = events_tiers(spark, d)["d"].select(F.col("dt").alias("period_start")).where(F.floor(F.col("period_start") / ta.DAY) % 5 != 0)
+    todo = cover.expected_table(spark, spec, *ALL)
+    return classify_gaps(todo, spec, days, "1d", ALL[0], _GAP_END, _GAP_TO, 0.25).select("tier", "shard_dur", "period_start", "status")
+
+
 @book.add("B10_missing_tiles", f"WITH have AS (SELECT DISTINCT {sql_floor(EVENT_MS, '15min')} AS a FROM events WHERE event_type = 'error' OR event_type = 'purchase'), want AS (SELECT UNNEST(generate_series({ALL[0]}, {ALL[1] - 1}, 900000)) AS a) SELECT a AS period_start FROM want WHERE a NOT IN (SELECT a FROM have)")
 def b10(spark, d):
     """Source tiles that are expected and have no rows: the quarters of an hour without certain events."""
@@ -147,14 +164,18 @@ def b18(spark, d):
 @book.add("B20_fill_driver", states_sql(D, where=between(ALL[0], ALL[1] - 3 * ta.DAY, D)))
 def b20(spark, d):
     """Gaps of the whole cover filled in two runs, the first stopped early and some shards of hours invalidated
-    between; then the day tier read back (B8, B9, B14, B19, B20, B21, F8)."""
+    between, in a journal that is pruned; then the day tier read back (B8, B9, B14, B19, B20, B21, F5, F8)."""
     root, reg = Scratch(spark, "fill").root, Registry(VersionedStore(spark, Scratch(spark, "fill-registry").root))
     spec = PyramidSpec("events", EVENTS.tiers[:3], EVENTS.dims, EVENTS.metrics, bin_col="dt", key_template="{tier}/{shard}/{period}")
     base, end = events_base(spark, d), ALL[1] - 3 * ta.DAY
     lo, hi = ta.floor(ALL[0], "4d"), ta.floor(end, "4d")
+    journal = tip.Journal(VersionedStore(spark, Scratch(spark, "fill-journal").root))
     fill(base, spec, root, reg, lo, hi, now=1, max_gaps=9)
-    again = spark.createDataFrame([("events", T0, T0 + ta.DAY, 2)], "pyramid string, a bigint, b bigint, r bigint")
-    fill(base, spec, root, reg, lo, hi, now=3, requests=again)
+    journal.invalidate("events", T0, T0 + ta.DAY, 2)
+    fill(base, spec, root, reg, lo, hi, now=3, requests=journal.rows())
+    journal.prune(spent(journal.rows(), spec, reg, lo, hi))
+    if journal.rows().count():
+        raise AssertionError("a request served is still in the journal")
     out = spark.read.schema(base.schema).parquet(f"{root}/tier=d/shard=4d").select(base.columns)
     rest = build.rebin(base.where(F.col("dt") >= hi), spec, "1d").where(F.col("dt") < end)
     return states(out.unionByName(rest))
@@ -194,6 +215,28 @@ def _cover_sql(tier: str, days: list[int]) -> str:
     return " UNION ALL ".join(parts)
 
 
+_WHO_LO, _WHO_HI = ta.floor(ALL[0], "4d"), ta.floor(ALL[1], "4d")
+
+
+@book.add("B23_canonical_shards", f"SELECT dt, who, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS v_sum FROM (SELECT {D} AS dt, 'u:' || user_id AS who, 1 AS n, {CENTS} AS c FROM events UNION ALL SELECT {D}, 'c:' || (user_id % 5), 1, {CENTS} FROM events WHERE user_id % 3 <> 0) WHERE dt >= {_WHO_LO} AND dt < {_WHO_HI} GROUP BY ALL")
+def b23(spark, d):
+    """Shards written and registered, given canonical rows by one map and then by another, each time by
+    rewriting what changed; the day tier read back (B5, B7, B22, B23)."""
+    spec = PyramidSpec("who", (Tier("h", "1h", ("1d",)), Tier("d", "1d", ("4d",))), ("who",), EVENTS.metrics, bin_col="dt", key_template="{tier}/{shard}/{period}.{hash:12}.parquet")
+    scratch = Scratch(spark, "canonical")
+    root, reg = f"{scratch.root}/shards", Registry(VersionedStore(spark, f"{scratch.root}/registry"))
+    e = table(spark, d, "events").withColumn("who", F.concat(F.lit("u:"), "user_id"))
+    base = scratch.write(build.from_raw(e, spec, ta.ms_of("ts"), {"n": F.lit(1), "v": cents("value")}), "base")
+    fill(base, spec, root, reg, _WHO_LO, _WHO_HI, now=1)
+    ids = e.select("user_id", "who").distinct()
+    first = ids.where("user_id % 5 <> 0").select(F.col("who").alias("raw"), F.pmod("user_id", F.lit(7)).cast("string").alias("canonical"))
+    second = ids.where("user_id % 3 <> 0").select(F.col("who").alias("raw"), F.pmod("user_id", F.lit(5)).cast("string").alias("canonical"))
+    for now, ids_now in ((2, first), (3, second)):
+        canonicalize_shards(spec, base.schema, root, reg, ids_now, "who", _WHO_LO, _WHO_HI, now, scratch)
+    out = spark.read.schema(base.schema).parquet(f"{root}/tier=d/shard=4d")
+    return out.select("dt", "who", F.col("n").cast("long").alias("n"), F.col("v_sum").cast("long").alias("v_sum"))
+
+
 @book.add("B24_expected_cover", f"SELECT *, greatest(period_start, {ALL[0]}) AS effective_start, least(period_end, {_EDGE}) AS effective_end FROM ({_cover_sql('d', [16, 4, 1])} UNION ALL {_cover_sql('h', [2, 1])})")
 def b24(spark, d):
     """The least cover of a span that ends within a day, by two tiers of several rungs."""

@@ -41,6 +41,16 @@ class Registry:
                     raise
         raise AssertionError
 
+    def drop(self, rows: DataFrame) -> int:
+        """Take slots out of the registry, as they are in ``rows``: one registered anew since then stays."""
+        base, cols = self.store.latest(), [*SLOT, "key", "written_at"]
+        gone = rows.select(*[F.col(c).alias(f"__{c}") for c in cols])
+        on = F.lit(True)
+        for c in cols:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        path = self.store.write(self.rows().join(gone, on, "left_anti"), "registry")
+        return self.store.commit(base, {"paths": [path]})
+
     def compact(self) -> int:
         """Replace the appended files by one with the live rows."""
         base = self.store.latest()

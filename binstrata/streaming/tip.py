@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from binstrata.functions import timeaxis as ta
 from binstrata.plans.spec import PyramidSpec
 from binstrata.session import Scratch
+from binstrata.sources.store import VersionedStore
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: str, keep: str = "last") -> DataFrame:
@@ -66,7 +67,29 @@ def sessions(stream: DataFrame, ts: str, gap: str, late: str, dims: Sequence[str
     return rows.groupBy(F.session_window(ts, gap).alias("w"), *dims).agg(*[c.alias(n) for n, c in aggs.items()]).select(F.col("w.start").alias("bin_start"), F.col("w.end").alias("bin_end"), *dims, *aggs)
 
 
-def invalidate(journal: DataFrame, pyramid: str, lo: int, hi: int, at: int) -> DataFrame:
-    """The journal of repair requests with one more ``(pyramid, a, b, r)``."""
-    spark = journal.sparkSession
-    return journal.unionByName(spark.createDataFrame([(pyramid, lo, hi, at)], "pyramid string, a bigint, b bigint, r bigint"))
+class Journal:
+    """Repair requests ``(pyramid, a, b, r)`` in a versioned store: appended, and rewritten when spent ones go."""
+
+    SCHEMA = "pyramid string, a bigint, b bigint, r bigint"
+
+    def __init__(self, store: VersionedStore):
+        self.store = store
+
+    def rows(self) -> DataFrame:
+        return self.store.read(self.store.meta().get("paths", []), self.SCHEMA)
+
+    def invalidate(self, pyramid: str, lo: int, hi: int, at: int) -> int:
+        """Append one request for ``[lo, hi)``; returns the version."""
+        base = self.store.latest()
+        path = self.store.write(self.store.spark.createDataFrame([(pyramid, lo, hi, at)], self.SCHEMA).coalesce(1), "journal")
+        return self.store.commit(base, {"paths": [*self.store.meta(base).get("paths", []), path]})
+
+    def prune(self, gone: DataFrame) -> int:
+        """Drop requests; those that came since the newest version was read make the commit fail, and stay."""
+        base = self.store.latest()
+        names = gone.select(*[F.col(c).alias(f"__{c}") for c in ("pyramid", "a", "b", "r")])
+        on = F.lit(True)
+        for c in ("pyramid", "a", "b", "r"):
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        path = self.store.write(self.rows().join(names, on, "left_anti").coalesce(1), "journal")
+        return self.store.commit(base, {"paths": [path]})
