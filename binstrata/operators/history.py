@@ -186,7 +186,7 @@ def append_archives(history: History, intervals: DataFrame, catalog: DataFrame,
     span = fresh.groupBy("dataset").agg(F.min("scan").cast("long").alias("from"), F.max("scan").cast("long").alias("to"))
     if history.levels is None:
         history.levels = tree_levels(intervals.select(F.col("key").alias("dataset")))
-    return history.append(presence(intervals, segments(fresh)), span, scratch)
+    return history.append(presence(intervals, broadcast_if_small(segments(fresh))), span, scratch)
 
 
 def archive_history(intervals: DataFrame, multiscans: DataFrame, store: VersionedStore, scratch: Scratch) -> DataFrame:
