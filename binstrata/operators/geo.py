@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binstrata.plans import geo_cover as g
-from binstrata.session import broadcast_if_small
+from binstrata.session import Scratch, broadcast_if_small
 
 
 def _c(x: str | Column) -> Column:
@@ -119,11 +119,16 @@ def where_ranges(df: DataFrame, cell: str, ranges: Sequence[tuple[int, int]]) ->
 def where_cover(df: DataFrame, cell: str, include: Iterable[int], exclude: Iterable[int]) -> DataFrame:
     """Rows whose nearest ancestor in a ± cover (or own cell) is included. Each row looks up its at most
     31 ancestors, of the levels that occur in the cover, and the deepest hit decides."""
-    terms = [(signed(c), g.level_of(c), True) for c in include] + [(signed(c), g.level_of(c), False) for c in exclude]
-    if not terms:
+    terms = [(signed(c), True) for c in include] + [(signed(c), False) for c in exclude]
+    return where_terms(df, cell, df.sparkSession.createDataFrame(terms, "term bigint, plus boolean"))
+
+
+def where_terms(df: DataFrame, cell: str, terms: DataFrame) -> DataFrame:
+    """The same with a cover of any size, ``(term, plus)``."""
+    cover = terms.select(F.col("term").alias("__term"), level_of("term").alias("__level"), F.col("plus").alias("__plus"))
+    levels = sorted(r[0] for r in cover.select("__level").distinct().collect())  # 31 at most
+    if not levels:
         return df.where(F.lit(False))
-    levels = sorted({k for _, k, _ in terms})
-    cover = df.sparkSession.createDataFrame(terms, "__term bigint, __level int, __plus boolean")
     distinct = df.select(cell).distinct()
     ups = distinct.select(cell, F.explode(F.array_compact(F.array(*[F.when(level_of(cell) >= k, parent(cell, k)) for k in levels]))).alias("__up"))
     hits = ups.join(broadcast_if_small(cover), F.col("__up") == F.col("__term"))
@@ -131,6 +136,48 @@ def where_cover(df: DataFrame, cell: str, include: Iterable[int], exclude: Itera
     return df.join(good, F.col(cell) == F.col("__good"), "left_semi")
 
 
+def cover_terms(cells: DataFrame, cell: str, wanted: str, scratch: Scratch, coarsest: int = 0) -> DataFrame:
+    """``(term, plus)``: the least ± cover of the wanted cells among all ``cells``, by as few terms as
+    :func:`binstrata.plans.geo_cover.minimal_cover`, for vocabularies of any size.
+
+    Level by level upwards, each node gets from its children what it costs to list its wanted cells where
+    nothing above is included (``pos``), and to list the others where something is (``neg``); either way the node
+    may be turned around for one term. Then downwards, only nodes are looked at whose choice is open. Cells
+    that contain each other raise an error; null cells don't count, a cell wanted once is wanted.
+    """
+    leaves = cells.where(F.col(cell).isNotNull()).groupBy(F.col(cell).alias("node")).agg(F.max(F.coalesce(wanted, F.lit(False))).alias("w"))
+    leaves = scratch.write(leaves.withColumn("level", level_of("node")), "leaves")
+    finest = leaves.agg(F.max("level")).first()[0]
+    if finest is None:
+        return leaves.select(F.col("node").alias("term"), F.col("w").alias("plus"))
+    number, levels = lambda c: c.cast("long"), {}
+    for k in range(finest, coarsest - 1, -1):
+        w = F.col("w")
+        mine = leaves.where(F.col("level") == k).select("node", w, (~w).alias("o"), F.lit(0).cast("long").alias("add"), F.lit(0).cast("long").alias("drop"), F.lit(True).alias("leaf"))
+        if k < finest:
+            up = levels[k + 1].groupBy(parent("node", k).alias("node")).agg(F.max("w").alias("w"), F.max("o").alias("o"), F.sum("pos").alias("add"), F.sum("neg").alias("drop")).withColumn("leaf", F.lit(False))
+            mine = mine.unionByName(up).groupBy("node").agg(*[F.max(c).alias(c) for c in ("w", "o", "add", "drop")], F.max("leaf").alias("leaf"), F.count(F.lit(1)).alias("n"))
+            mine = mine.where(F.when(F.col("n") > 1, F.raise_error(F.lit("cells contain each other")).cast("boolean")).otherwise(F.lit(True))).drop("n")
+        cost = lambda some, other, listed, turned: F.when(~F.col(some), F.lit(0)).when(~F.col(other), F.lit(1)).otherwise(F.least(F.col(listed), F.col(turned) + 1))
+        levels[k] = scratch.write(mine.withColumns({"pos": number(cost("w", "o", "add", "drop")), "neg": number(cost("o", "w", "drop", "add"))}), f"up-{k}")
+    out, above = None, None
+    for k in range(coarsest, finest + 1):
+        open_ = levels[k]
+        if above is None:
+            open_ = open_.withColumn("plus", F.lit(True))
+        else:
+            open_ = open_.join(broadcast_if_small(above), parent("node", k - 1) == F.col("__up")).drop("__up")
+        plus = F.col("plus")
+        some, foreign = F.when(plus, F.col("w")).otherwise(F.col("o")), F.when(plus, F.col("o")).otherwise(F.col("w"))
+        listed, turned = F.when(plus, F.col("add")).otherwise(F.col("drop")), F.when(plus, F.col("drop")).otherwise(F.col("add"))
+        term = ~foreign | (turned + 1 < listed)
+        open_ = scratch.write(open_.where(some).select("node", "plus", term.alias("term"), (foreign & ~F.col("leaf")).alias("on")), f"down-{k}")
+        one = open_.where("term").select(F.col("node").alias("term"), "plus")
+        out = one if out is None else out.unionByName(one)
+        above = open_.where("on").select(F.col("node").alias("__up"), (F.col("plus") != F.col("term")).alias("plus"))
+    return out
+
+
 def query_box(tiers, spec, cell: str, lo: int, hi: int, box: g.BBox | None = None, cells: Sequence[int] | None = None, budget: int = 1024, **options):
     """Plan and execute a query of a box, or of given cells of one level: ``(records, plan metadata)``."""
     from binstrata.operators.serve import execute

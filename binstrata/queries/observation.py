@@ -64,7 +64,20 @@ def m6(spark, d):
     return scans.extract(intervals(spark, d).drop("seen"), STATES, 3)
 
 
-@book.add("M7_scan_digest")
+# a string as JSON in ASCII, and the digest of a scan's rows in order
+_JSON = r"""'"' || array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN c = '"' OR c = '\' THEN '\' || c WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(12) THEN '\f' WHEN c = chr(8) THEN '\b'
+WHEN length(c) = 1 AND unicode(c) BETWEEN 32 AND 126 THEN c ELSE array_to_string(list_transform(string_split(c, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN '\u' || printf('%04x', 55296 + (unicode(x) - 65536) // 1024) || '\u' || printf('%04x', 56320 + (unicode(x) - 65536) % 1024) ELSE '\u' || printf('%04x', unicode(x)) END), '') END), '') || '"'"""
+_RECORD = """(l.digests ->> ('$."' || l.label || '"'))"""
+_DIGESTS = f"""WITH arch AS (SELECT dataset, key, encoder, scans, digests FROM (SELECT *, row_number() OVER (PARTITION BY dataset, key ORDER BY written_at DESC NULLS LAST) AS rn FROM pyramid_multiscans WHERE key IS NOT NULL) WHERE rn = 1),
+listed AS (SELECT dataset, key, encoder, digests, UNNEST(from_json(scans, '["VARCHAR"]')) AS label, UNNEST(range(0, CAST(json_array_length(scans) AS BIGINT))) AS scan FROM arch),
+held AS (SELECT a.dataset, a.key, i.dt, i.path, coalesce(i.b, 0) AS b, coalesce(i.o, 0) AS o, coalesce(i.__scan, i.__scan_lo) AS lo, least(coalesce(i.__scan, i.__scan_hi), CAST(json_array_length(a.scans) AS BIGINT) - 1) AS hi FROM intervals i JOIN arch a ON a.key = i.key),
+present AS (SELECT DISTINCT dataset, key, dt, path, b, o, UNNEST(range(lo, hi + 1)) AS scan FROM held WHERE lo <= hi AND (b <> 0 OR o <> 0)),
+made AS (SELECT dataset, key, scan, count(*) AS n, sha256(string_agg('[' || concat_ws(',', coalesce(dt, 0), {_JSON}, b, o) || ']' || chr(10), '' ORDER BY path NULLS FIRST, dt NULLS FIRST)) AS sha256,
+CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws(chr(31), coalesce(CAST(dt AS VARCHAR), '\\N'), coalesce(path, '\\N'), CAST(b AS VARCHAR), CAST(o AS VARCHAR))), 1, 16) AS UBIGINT) AS HUGEINT)) % 18446744073709551616 AS DECIMAL(20, 0)) AS digest FROM present GROUP BY ALL)
+SELECT l.dataset, l.key, l.encoder, l.label, coalesce(m.n, 0) AS n, coalesce(m.sha256, sha256('')) AS sha256, CAST(coalesce(m.digest, 0) AS VARCHAR) AS digest, {_RECORD} AS on_record, coalesce(m.sha256, sha256('')) = {_RECORD} AS same FROM listed l LEFT JOIN made m ON m.dataset = l.dataset AND m.key = l.key AND m.scan = l.scan"""
+
+
+@book.add("M7_scan_digest", _DIGESTS)
 def m7(spark, d):
     """Digests of every scan of every archive of the store, of both encoders, beside those on record. A scan
     without rows has the digest of nothing; repeated rows count once."""
@@ -83,7 +96,7 @@ def m7(spark, d):
     both = listed.join(made, listed["dataset"].eqNullSafe(F.col("m_dataset")) & (listed["key"] == F.col("m_key")) & (listed["scan"] == F.col("m_scan")), "left")
     n = F.coalesce("m_n", F.lit(0).cast("long"))
     sha = F.when(n == 0, F.sha2(F.lit(""), 256)).otherwise(F.col("m_sha256"))
-    return both.select("dataset", "key", "encoder", "label", n.alias("n"), sha.alias("sha256"), F.coalesce("m_digest", F.lit(0).cast("decimal(20,0)")).alias("digest"), "on_record", (sha == F.col("on_record")).alias("same"))
+    return both.select("dataset", "key", "encoder", "label", n.alias("n"), sha.alias("sha256"), F.coalesce("m_digest", F.lit(0).cast("decimal(20,0)")).cast("string").alias("digest"), "on_record", (sha == F.col("on_record")).alias("same"))
 
 
 @book.add("M8_diff_tables", f"WITH s AS ({SCANS_SQL}) {CHANGE(1, 4)}")
@@ -367,9 +380,8 @@ def g15(spark, d):
     b = built(spark, d)
     pos = F.shiftrightunsigned("cell", 41)
     want = (F.floor(pos / 262144).isin(1, 2)) | (F.pmod(pos, F.lit(64)) == 0)
-    cells = b.select("cell", want.alias("w")).distinct().collect()  # the vocabulary of places, planned on the driver
-    include, exclude = g.minimal_cover([geo.unsigned(r[0]) for r in cells if r[1]], [geo.unsigned(r[0]) for r in cells])
-    return geo.where_cover(b, "cell", include, exclude).select("c_custkey")
+    terms = geo.cover_terms(b.select("cell", want.alias("w")), "cell", "w", Scratch(spark, "cover"))
+    return geo.where_terms(b, "cell", terms).select("c_custkey")
 
 
 @book.add("G16_vocabulary_cover", "SELECT * FROM (VALUES ('+', '1'), ('-', 's3')) t(op, term)")

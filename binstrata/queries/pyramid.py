@@ -53,11 +53,10 @@ def b2_periods(spark, d):
     return t.groupBy(F.lit("d").alias("tier"), "shard", "period").agg(F.sum("n").alias("n"))
 
 
-@book.add("B4_plan_dot", "SELECT * FROM (VALUES ('q', 'raw', 0), ('h', 'q', 1), ('d', 'h', 2), ('m', 'd', 3)) t(tier, source, layer)")
+@book.add("B4_plan_dot", """SELECT 'digraph build {' || chr(10) || '  "raw" -> "q";' || chr(10) || '  "q" -> "h";' || chr(10) || '  "h" -> "d";' || chr(10) || '  "d" -> "m";' || chr(10) || '}' AS dot, 'q h d m' AS layers""")
 def b4(spark, d):
-    """Each tier's source and layer."""
-    layer = {t: k for k, ts in enumerate(cover.build_layers(EVENTS)) for t in ts}
-    return spark.createDataFrame([(t, s or "raw", layer[t]) for t, s in cover.build_order(EVENTS)], "tier string, source string, layer int")
+    """The build plan as a graph, and its layers."""
+    return spark.createDataFrame([(cover.plan_dot(EVENTS), " ".join(",".join(x) for x in cover.build_layers(EVENTS)))], "dot string, layers string")
 
 
 @book.add("B8_fill_missing", f"SELECT 'h' AS tier, strftime(make_timestamp({D} * 1000), '%Y-%m-%d') AS period, count(*) AS n FROM events WHERE ({D} // 86400000) % 3 = 0 GROUP BY ALL")

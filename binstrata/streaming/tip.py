@@ -40,7 +40,7 @@ def tip_writer(spec: PyramidSpec, root: str, identity: Sequence[str], order: str
             new = old.unionByName(new)
         # the old rows are read from the folder that is overwritten: they are set aside first
         merged = Scratch(spark, "tip").write(dedupe(new, identity, order, keep), "merged")
-        merged.repartition("period").sortWithinPartitions("period", spec.bin_col, *spec.dims).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+        merged.hint("rebalance", "period").sortWithinPartitions("period", spec.bin_col, *spec.dims).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
         if invalidate:
             lo, hi = merged.agg(F.min(spec.bin_col), F.max(spec.bin_col)).first()
             invalidate(ta.floor(lo, shard), ta.add(ta.floor(hi, shard), shard))

@@ -154,3 +154,25 @@ def test_columns(spark):
     assert [geo.unsigned(r.c) for r in got] == sorted(ids)
     assert geo.where_cover(spark.createDataFrame([(1,)], "c bigint"), "c", [], []).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_cover_terms_are_as_few_as_those_of_the_driver(spark, scratch):
+    import random
+
+    rng = random.Random(4)
+    base = [geo.unsigned(c) for c in (1 << 61 | g.lsb(0), 3 << 61 | g.lsb(0))]
+    for _ in range(4):
+        base = [k for c in base for k in g.children(c)]
+    for share in (0.1, 0.5, 0.9):
+        system = rng.sample(base, 300)
+        wanted = [c for c in system if rng.random() < share or (c >> 56) % 3 == 0]
+        df = spark.createDataFrame([(geo.signed(c), c in set(wanted)) for c in system] + [(None, True)], "c bigint, w boolean")
+        terms = geo.cover_terms(df, "c", "w", scratch)
+        inc, exc = g.minimal_cover(wanted, system)
+        assert terms.count() == len(inc) + len(exc)
+        got = {geo.unsigned(r.c) for r in geo.where_terms(df, "c", terms).select("c").collect()}
+        assert got == set(wanted)
+    assert geo.cover_terms(df.where("false"), "c", "w", scratch).count() == 0
+    both = spark.createDataFrame([(geo.signed(base[0]), True), (geo.signed(g.children(base[0])[0]), False)], "c bigint, w boolean")
+    with pytest.raises(Exception, match="contain each other"):
+        geo.cover_terms(both, "c", "w", scratch).count()
