@@ -17,14 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from binstrata.session import observed
+from binstrata.session import few_listing_tasks, observed
 from binstrata.sources.store import VersionedStore
 
+PACKS = "__part string, __slot int, files bigint, bytes bigint"
 #: Measured bytes of names up to which the files of a run are broadcast.
 BROADCAST_NAMES = 32 << 20
+#: Folders of packs up to which the driver holds their listing at once.
+LISTED_FOLDERS = 50_000
 
 
 class KeyedRecords:
@@ -66,8 +70,9 @@ class Compactor:
     ``by``: the partition columns of the registry; ``file``: the column that names a file, in the
     registry and in the records; ``size``: the bytes of a file, null where unknown (such a file counts
     as neither small nor large, and as one of mean size); ``identity``: the column that identifies a record.
-    ``good_bytes``: files of this size are left as they are, and packs are cut to it. ``files_per_run``:
-    beyond it a run takes a share of the partitions found, whole ones, and the next runs take the rest.
+    ``good_bytes``: files of this size are left as they are, and packs are cut to it. A run takes all
+    partitions found; only where ``files_per_run`` is given, it takes a share of about so many files, whole
+    partitions, and the next runs take the rest.
 
     Nulls in partition columns form partitions of their own. An empty registry gives no partition.
     Registry rows are expected once per file (see ``live_rows``), and a file is known by all of its
@@ -75,7 +80,7 @@ class Compactor:
     rows alike in all columns come out once. Extra columns of registry and records are kept.
     """
 
-    def __init__(self, store: VersionedStore, by: tuple[str, ...], file: str = "key", size: str = "n_bytes", identity: str = "rec_id", small_bytes: int = 65_536, least_small: int = 10, good_bytes: int = 128 << 20, files_per_run: int = 1_000_000):
+    def __init__(self, store: VersionedStore, by: tuple[str, ...], file: str = "key", size: str = "n_bytes", identity: str = "rec_id", small_bytes: int = 65_536, least_small: int = 10, good_bytes: int = 128 << 20, files_per_run: int | None = None):
         self.store, self.by, self.file, self.size, self.identity = store, by, file, size, identity
         self.small_bytes, self.least_small, self.good_bytes, self.files_per_run = small_bytes, least_small, good_bytes, files_per_run
         self.spark, self.data = store.spark, f"{store.root}/packed"
@@ -99,7 +104,7 @@ class Compactor:
     def packs(self, version: int | None = None) -> DataFrame:
         """``(__part, __slot, files, bytes)``: the folders of packed files that a version names."""
         meta = self.store.meta(version)
-        return self._table([meta["packs"]] if meta else [], "__part string, __slot int, files bigint, bytes bigint")
+        return self._table([meta["packs"]] if meta else [], PACKS)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The partitions that the run of a version rewrote (``conflict`` = false) or had to leave."""
@@ -132,7 +137,7 @@ class Compactor:
         seen = Observation()
         found = self.partitions(files).where(F.col("small_files") >= self.least_small)
         found = self._written(found.observe(seen, F.coalesce(F.sum("files"), F.lit(0)).alias("n")), "found")
-        shares = -(-observed(seen, "n") // self.files_per_run)
+        shares = -(-observed(seen, "n") // self.files_per_run) if self.files_per_run else 1
         if shares > 1:
             share = F.pmod(F.xxhash64("__part"), F.lit(shares))
             found = found.where(share == (found.select(F.min(share)).first()[0]))
@@ -214,9 +219,27 @@ class Compactor:
             .parquet(self.data)
         )
 
-    def _sizes(self) -> DataFrame:
-        """``(__part, __slot, files, bytes)`` of all folders, from the file listing."""
-        listing = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(self.data)
+    def _sizes(self, folders: int) -> DataFrame:
+        """``(__part, __slot, files, bytes)`` of all folders, from the file listing: where there are very many
+        ``folders``, that of one leading digit of ``__part`` (or several) after the other."""
+        digits = 0
+        while folders > LISTED_FOLDERS * 16**digits:
+            digits += 1
+        if not digits:
+            return self._listed(self.data)
+        paths = []
+        for k in range(16**digits):
+            try:
+                self._written(self._listed(f"{self.data}/__part={k:0{digits}x}*"), "sizes")
+                paths.append(self._paths[-1])
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        return self._table(paths, PACKS)
+
+    def _listed(self, path: str) -> DataFrame:
+        with few_listing_tasks(self.spark):
+            listing = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
         at = lambda name, kind: F.regexp_extract("path", rf"{name}=([^/]+)/", 1).cast(kind)
         return listing.groupBy(at("__part", "string").alias("__part"), at("__slot", "int").alias("__slot")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
@@ -229,7 +252,8 @@ class Compactor:
         mine, meta = self._paths[-1], self.store.meta(base)
         done = manifest.where(~F.col("conflict")).select(F.col("__part").alias("__q"), F.col("__slot").alias("__t"))
         kept = self.packs(base).join(done, (F.col("__part") == F.col("__q")) & (F.col("__slot").bitwiseXOR(1) == F.col("__t")), "left_anti")
-        new = self._sizes().join(done, (F.col("__part") == F.col("__q")) & (F.col("__slot") == F.col("__t")), "left_semi") if observed(seen, "n") else kept.where(F.lit(False))
+        n = observed(seen, "n")
+        new = self._sizes(n + 2 * self.packs(base).count()).join(done, (F.col("__part") == F.col("__q")) & (F.col("__slot") == F.col("__t")), "left_semi") if n else kept.where(F.lit(False))
         self._written(kept.unionByName(new), "packs")
         packs = self._paths[-1]
         self._written(members.join(done, F.col("__part") == F.col("__q"), "left_semi").select("__file", "__stamp"), "consumed")

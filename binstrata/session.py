@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -91,6 +93,19 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within it, a reader lists its folders in as many tasks as a shuffle has partitions; Spark's own setting
+    is a task for each folder, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(parallelism(spark)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.001, least: int = 1000) -> DataFrame:
     """Keys that hold at least ``share`` of all rows (and at least ``least`` rows), as ``(key)``.
 

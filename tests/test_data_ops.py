@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from binstrata.operators import archives, history, increments, percentiles, snapshot_diff, sweep
+from binstrata.operators import archives, compaction, history, increments, percentiles, snapshot_diff, sweep
 from binstrata.operators.compaction import Compactor, PathRecords
 from binstrata.operators.registry import live_rows
+from binstrata.queries import data_ops
 from binstrata.sources.store import CommitConflict, VersionedStore
 
 UTC = timezone.utc
@@ -157,6 +158,28 @@ def test_a_run_takes_a_share_of_the_files(spark, store):
     assert c.read(files, recs).where("rewritten").count() == 60
 
 
+def test_p1_found_finds_all_partitions_of_more_than_a_million_small_files(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id"))  # all in January
+    names = [F.format_string("p%d", F.col("id") % 40).alias("pyramid"), F.lit("q").alias("tier"), F.lit("1d").alias("shard_dur"), at.alias("period_start"), at.alias("period_end"), F.col("id").cast("string").alias("key"), at.alias("written_at")]
+    spark.range(1_100_000).select(*names, F.lit(10).cast("long").alias("n_bytes")).write.parquet(f"{d}/pyramid_shards.parquet")
+    spark.range(80).selectExpr("id AS rec_id", "string(id) AS key", "1.0 AS count").write.parquet(f"{d}/longform.parquet")
+    got = [tuple(r) for r in data_ops.p1_found(spark, d).collect()]
+    assert sorted(got) == sorted((f"p{k}", "q", "1d", "2024-01") for k in range(40))
+
+
+def test_packs_are_the_same_when_their_folders_are_listed_in_parts(spark, store, tmp_path, monkeypatch):
+    files, recs = p1_data(spark)
+    lonely = spark.createDataFrame([("z", "01", f"z{k}", 10) for k in range(10)], FILES)  # files without records: no folder
+    c, other = Compactor(store, BY), Compactor(VersionedStore(spark, f"file://{tmp_path}/other"), BY)
+    c.compact(files.unionByName(lonely), recs)
+    monkeypatch.setattr(compaction, "LISTED_FOLDERS", 2)  # by one digit of 16, most of which have no folder
+    other.compact(files.unionByName(lonely), recs)
+    packs = lambda x: sorted((r["__part"], r["__slot"], r.files) for r in x.packs().collect())
+    assert packs(c) == packs(other) and len(packs(c)) == 3
+    assert other.read(files, recs).count() == recs.dropDuplicates(["rec_id"]).count()
+
+
 def test_records_are_read_by_path(spark, store, tmp_path):
     root = f"file://{tmp_path}/lake of files"
     rows = spark.createDataFrame([(i, f"k{i % 10}", float(i), "x") for i in range(50)], ROWS)
