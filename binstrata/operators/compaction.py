@@ -32,7 +32,9 @@ LISTED_FOLDERS = 50_000
 
 
 class KeyedRecords:
-    """Records that carry the name of their file in a column of one large table."""
+    """Records that carry the name of their file in a column of one large table, which a compaction scans once."""
+
+    at_once = None
 
     def __init__(self, rows: DataFrame, file: str = "key"):
         self.rows, self.file, self.columns = rows, file, rows.columns
@@ -44,11 +46,12 @@ class KeyedRecords:
 
 class PathRecords:
     """Records in Parquet files of their own: a file's name is its path below ``root``. Only the files asked
-    for are opened. Their names are listed on the driver, as Spark does for any scan; a compaction takes at
-    most ``files_per_run`` of them. Adds the file's name as the column ``file``."""
+    for are opened. Their names are listed on the driver, as Spark does for any scan; a compaction reads and
+    packs about ``at_once`` of them, those of whole partitions, one lot after the other until all are packed.
+    Adds the file's name as the column ``file``."""
 
-    def __init__(self, spark: SparkSession, root: str, schema, file: str = "key"):
-        self.spark, self.root, self.file = spark, root.rstrip("/"), file
+    def __init__(self, spark: SparkSession, root: str, schema, file: str = "key", at_once: int = 1_000_000):
+        self.spark, self.root, self.file, self.at_once = spark, root.rstrip("/"), file, at_once
         self.schema = spark.createDataFrame([], schema).schema
         self.columns = [*[c for c in self.schema.names if c != file], file]
 
@@ -198,9 +201,16 @@ class Compactor:
             self.store.release(claim)
 
     def _rewrite(self, files: DataFrame, records, targets: DataFrame, members: DataFrame, base: int) -> None:
+        n, size = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("__file") + 100), F.lit(0))).first()
+        lots = max(1, -(-n // records.at_once)) if records.at_once else 1
+        for k in range(lots):
+            # another hash than that of the shares of a run
+            mine = F.pmod(F.xxhash64("__part", F.lit("lot")), F.lit(lots)) == k if lots > 1 else F.lit(True)
+            self._rewrite_lot(files, records, targets.where(mine), members.where(mine), size, base)
+
+    def _rewrite_lot(self, files: DataFrame, records, targets: DataFrame, members: DataFrame, size: int, base: int) -> None:
         bins = targets.select(F.col("__part").alias("__q"), "__bins")
         names = members.select("__part", "__slot", "__file", "__stamp").join(bins, F.col("__part") == F.col("__q")).drop("__q")
-        size = members.agg(F.sum(F.length("__file") + 100)).first()[0] or 0
         rows = records.of(F.broadcast(names) if size <= BROADCAST_NAMES else names)
         old = targets.where(F.col("__old").isNotNull())
         if base and not old.isEmpty():

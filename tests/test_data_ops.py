@@ -197,6 +197,34 @@ def test_records_are_read_by_path(spark, store, tmp_path):
     assert c.read(files, lake, 0).where("not rewritten").count() == 50
 
 
+def test_files_beyond_what_is_read_at_once_are_packed_by_the_same_run(spark, store, tmp_path):
+    root = f"file://{tmp_path}/lake"
+    df = spark.range(160).selectExpr("id AS rec_id", "double(id) AS x", "'x' AS p", "id % 80 AS k")
+    df.repartition(1).write.partitionBy("k").parquet(f"{root}/d")
+    name = F.substring_index(F.url_decode(F.col("_metadata.file_path")), "lake/", -1)
+    parts = spark.read.parquet(f"{root}/d").select(name.alias("key"), F.col("k").cast("int")).distinct()
+    files = parts.select(F.format_string("p%d", F.col("k") % 8).alias("p"), F.lit("01").alias("m"), "key", F.lit(10).cast("long").alias("n_bytes"))
+    lake, asked = PathRecords(spark, root, "rec_id bigint, x double, p string"), []
+    lake.at_once, of = 20, lake.of
+    lake.of = lambda names: (asked.append(names.count()), of(names))[1]
+    c = Compactor(store, BY)
+    c.compact(files, lake)
+    # four lots of whole partitions (ten files each), one version
+    assert len(asked) == 4 and sum(asked) == 80 and max(asked) < 80 and all(n % 10 == 0 for n in asked)
+    assert c.store.latest() == 1 and c.manifest().where("not conflict").count() == 8 and c.find(files).count() == 0
+    got = c.read(files, lake).collect()
+    assert sorted(r.rec_id for r in got) == list(range(160)) and all(r.rewritten for r in got)
+    # packs that are still small are merged in lots as well
+    more = df.where("k < 80").selectExpr("rec_id + 1000 AS rec_id", "x", "p", "k")
+    more.repartition(1).write.partitionBy("k").parquet(f"{root}/e")
+    late = spark.read.parquet(f"{root}/e").select(name.alias("key"), F.col("k").cast("int")).distinct()
+    files = files.unionByName(late.select(F.format_string("p%d", F.col("k") % 8).alias("p"), F.lit("01").alias("m"), "key", F.lit(10).cast("long").alias("n_bytes")))
+    files = spark.createDataFrame(files.collect(), FILES)
+    c.compact(files, lake)
+    got = c.read(files, lake).collect()
+    assert sorted(r.rec_id for r in got) == [*range(160), *range(1000, 1160)] and all(r.rewritten for r in got)
+
+
 def test_compaction_of_nothing(spark, store):
     files, recs = spark.createDataFrame([], FILES), spark.createDataFrame([], ROWS)
     c = Compactor(store, BY)
