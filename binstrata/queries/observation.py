@@ -329,9 +329,10 @@ def g2(spark, d):
 def g5(spark, d):
     """Descendant ranges of all cells' ancestors, merged (G5, G6, G8), as positions of level 8."""
     b = built(spark, d).select(geo.descendants(geo.parent("cell", 8), 30).alias("r")).select(F.lit(0).alias("one"), "r.*").distinct()
-    # neighbours differ by the gap of one leaf id, so ranges are widened by it before they are merged
-    m = geo.merge_ranges(b.withColumn("hi", F.col("hi") + 1), ("one",))
-    return m.select(F.shiftrightunsigned(F.col("lo"), 45).alias("lo"), F.shiftrightunsigned(F.col("hi") - 1, 45).alias("hi"))
+    # neighbours differ by the gap of one leaf id, so ranges are widened by it before they are merged; downwards,
+    # as the last leaf of face 3 is the greatest bigint, while leaf ids are odd and so never the least
+    m = geo.merge_ranges(b.withColumn("lo", F.col("lo") - 1), ("one",))
+    return m.select(F.shiftrightunsigned("lo", 45).alias("lo"), F.shiftrightunsigned("hi", 45).alias("hi"))
 
 
 @book.add("G7_range_join", f"WITH {_BUILT} SELECT c_custkey FROM c WHERE (p BETWEEN 1000000 AND 1500000) OR (p BETWEEN 4000000 AND 4200000)")

@@ -176,3 +176,20 @@ def test_cover_terms_are_as_few_as_those_of_the_driver(spark, scratch):
     both = spark.createDataFrame([(geo.signed(base[0]), True), (geo.signed(g.children(base[0])[0]), False)], "c bigint, w boolean")
     with pytest.raises(Exception, match="contain each other"):
         geo.cover_terms(both, "c", "w", scratch).count()
+
+
+def test_ranges_are_merged_on_both_sides_of_the_greatest_bigint(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tools.verify import rows
+
+    # keys of the places 0, 1, 262142, 262143 (whose last leaf is the greatest bigint), 262144 and 393215 (the last one)
+    keys = [0, 5046512, 4587040, 3342096, 2097152, 1244944]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    got = entry.queries()["G5_ranges_merged"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    cur = con.execute(entry.oracle_sql()["G5_ranges_merged"])
+    want = rows([c[0] for c in cur.description], cur.fetchall())
+    assert rows(got.columns, got.collect()) == want == rows(["lo", "hi"], [(0, 1), (262142, 262144), (393215, 393215)])
